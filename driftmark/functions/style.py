@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import constants as K
-from .text import find_all, safe_div, tok_alnum, tok_alpha
+from .text import find_all, safe_div, tok_alnum, tok_alpha, word_ngrams
 
 
 def _sum(arr):
@@ -55,12 +55,7 @@ def sentences(text):
 
 
 def bigrams(low):
-    last = F.size(low) - 2
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.concat_ws("_", F.get(low, i), F.get(low, i + 1)),
-    )
-    return F.when(last >= 0, pairs).otherwise(F.array().cast("array<string>"))
+    return word_ngrams(low, 2, "_")
 
 
 def annotate(df: DataFrame, words="alnum") -> DataFrame:

@@ -62,12 +62,12 @@ def word_ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
     """All runs of ``n`` adjacent tokens, joined by ``sep``."""
     if n == 1:
         return tokens
-    last = F.size(tokens) - F.lit(n)
-    grams = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.array_join(F.slice(tokens, i + 1, n), sep),
-    )
-    return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+    runs = F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0))
+    out = F.slice(tokens, F.lit(1), runs)
+    for k in range(2, n + 1):
+        # lambdas see only their own arguments, so an inlined token array costs no more
+        out = F.zip_with(out, F.slice(tokens, F.lit(k), runs), lambda a, b: F.concat(a, F.lit(sep), b))
+    return out
 
 
 def char_windows(text: Column, n: int) -> Column:
@@ -106,13 +106,12 @@ def count_terms(df: DataFrame, terms: str = "terms", keep=("doc_id", "block")) -
     s, starts = F.col("_s"), F.col("_starts")
     runs = (
         df.select(*keep, F.sort_array(F.col(terms)).alias("_s"))
-        .where(F.size("_s") > 0)
         .select(
             *keep, "_s",
-            F.filter(
-                F.sequence(F.lit(0), F.size(s) - 1),
+            F.when(F.size(s) > 0, F.filter(
+                F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))),
                 lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
-            ).alias("_starts"),
+            )).alias("_starts"),
         )
     )
     pairs = F.transform(

@@ -13,7 +13,7 @@ from .registry import query, r
 
 
 @query("scan_corpus", f"""WITH {U.CORPUS}
-SELECT doc_id, label, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM corpus""")
+SELECT doc_id, coalesce(label, -1)::INT AS label, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM corpus""")
 def scan_corpus(spark, sf):
     """CSV round trip: quoted multi-line text read back with a declared schema."""
     path = U.scratch(spark)
@@ -21,7 +21,7 @@ def scan_corpus(spark, sf):
         path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     t = C.scan_csv(spark, path).select("doc_id", C.clean_text().alias("text"), "label")
-    return t.select("doc_id", "label", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return t.select("doc_id", F.coalesce("label", F.lit(-1)).alias("label"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query("scan_features", f"""SELECT vec_id, (label >= 5)::INT AS label, len(embedding)::INT AS n_features,
@@ -163,10 +163,10 @@ def clean_nulls(spark, sf):
     return d.select("doc_id", C.clean_number(v).alias("v"))
 
 
-@query("smoke_sample", f"WITH {U.CORPUS} SELECT doc_id, label FROM corpus ORDER BY md5('42:' || doc_id), doc_id LIMIT 400")
+@query("smoke_sample", f"WITH {U.CORPUS} SELECT doc_id, coalesce(label, -1)::INT AS label FROM corpus ORDER BY md5('42:' || doc_id), doc_id LIMIT 400")
 def smoke_sample(spark, sf):
     """Seeded sample of 400 rows (the sampling operator)."""
-    return C.seeded_sample(C.corpus(spark, sf).select("doc_id", "label"), 400, "doc_id")
+    return C.seeded_sample(C.corpus(spark, sf).select("doc_id", F.coalesce("label", F.lit(-1)).alias("label")), 400, "doc_id")
 
 
 # --- splits -----------------------------------------------------------------------
