@@ -57,12 +57,16 @@ def prefix_md5(spark, sf):
 
 # --- n-grams -----------------------------------------------------------------------
 
-def _gram_sql(n):
-    return f"list_transform(range(1, len(tok) - {n - 2}), lambda i: array_to_string(tok[i:i+{n - 1}], ' '))"
+def _pair_sql():
+    return "list_transform(list_zip(tok[1:len(tok)-1], tok[2:]), lambda p: p[1] || ' ' || p[2])"
 
 
-@query("word_ngrams", f"""WITH {U.CORPUS}, t AS (SELECT doc_id, {U.TOK} AS tok FROM corpus)
-SELECT doc_id, {', '.join(_digest_sql(f'g{n}', _gram_sql(n)) for n in (1, 2, 3, 4))} FROM t""")
+@query("word_ngrams", f"""WITH {U.CORPUS}, t AS (SELECT doc_id, {U.TOK} AS tok FROM corpus),
+z AS (SELECT doc_id, tok AS g1, len(tok) AS n, list_zip(tok[1:len(tok)-1], tok[2:]) AS z2 FROM t),
+p AS (SELECT doc_id, n, g1, list_transform(z2, lambda p: p[1] || ' ' || p[2]) AS g2 FROM z),
+p3 AS (SELECT *, list_transform(list_zip(g2[1:n-2], g1[3:]), lambda p: p[1] || ' ' || p[2]) AS g3 FROM p),
+p4 AS (SELECT *, list_transform(list_zip(g3[1:n-3], g1[4:]), lambda p: p[1] || ' ' || p[2]) AS g4 FROM p3)
+SELECT doc_id, {', '.join(_digest_sql(f'g{n}', f'g{n}') for n in (1, 2, 3, 4))} FROM p4""")
 def word_ngrams(spark, sf):
     t = C.documents(spark, sf).select("doc_id", X.tok_vectorizer(F.col("text")).alias("tok"))
     g = t.select("doc_id", *[X.word_ngrams(F.col("tok"), n).alias(f"g{n}") for n in (1, 2, 3, 4)])
@@ -88,8 +92,12 @@ def char_wb_ngrams(spark, sf):
 
 @query("char_ngrams", f"""WITH {U.CORPUS}, v AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
   '\\p{{L}}', 'a', 'g'), '\\p{{Nd}}', '9', 'g'), {q(K.SPACE)}, '_', 'g') AS s FROM corpus),
-g AS (SELECT n, substring(s, i, n) AS term FROM (SELECT s, n, unnest(range(1, greatest(length(s) - n + 2, 1))) AS i
-  FROM v, (SELECT unnest(range(2, 6)) AS n)))
+ch AS (SELECT doc_id, unnest(string_split(s, '')) AS c, unnest(range(0, length(s))) AS i FROM v),
+ld AS (SELECT c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3, lead(c, 4) OVER w AS c4
+  FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT c || c1 AS term FROM ld WHERE c1 IS NOT NULL UNION ALL SELECT c || c1 || c2 FROM ld WHERE c2 IS NOT NULL
+  UNION ALL SELECT c || c1 || c2 || c3 FROM ld WHERE c3 IS NOT NULL
+  UNION ALL SELECT c || c1 || c2 || c3 || c4 FROM ld WHERE c4 IS NOT NULL)
 SELECT term, count(*) AS cf FROM g GROUP BY ALL""")
 def char_ngrams(spark, sf):
     """Unpadded sizes 2 to 5 on the character-class view, corpus counts."""
@@ -111,7 +119,7 @@ def _blocks(d):
 BLOCKS = f"""{U.CORPUS}, {char_sql(3, 5)},
 wt AS (SELECT doc_id, {U.TOK} AS tok FROM corpus),
 wc AS (SELECT doc_id, 'w' AS block, term, count(*) AS cnt FROM (
-  SELECT doc_id, unnest(tok) AS term FROM wt UNION ALL SELECT doc_id, unnest({_gram_sql(2)}) FROM wt) GROUP BY ALL),
+  SELECT doc_id, unnest(tok) AS term FROM wt UNION ALL SELECT doc_id, unnest({_pair_sql()}) FROM wt) GROUP BY ALL),
 bt AS (SELECT * FROM wc UNION ALL SELECT doc_id, 'c', term, count(*) FROM grams GROUP BY ALL)"""
 
 
@@ -255,7 +263,7 @@ def content_word(w):
 
 @query("word_filter", f"""WITH {U.CORPUS}, t AS (SELECT doc_id, list_transform({tok_sql(K.ALPHA_WORD)}, lambda w: lower(w)) AS tok FROM corpus),
 g AS (SELECT doc_id, unnest(list_filter(tok, lambda w: w NOT IN {U.in_sql(K.STOPWORDS_STYLE14)})) AS term FROM t
- UNION ALL SELECT doc_id, unnest({_gram_sql(2).replace("' ')", "'_')")}) FROM t)
+ UNION ALL SELECT doc_id, unnest({_pair_sql().replace("' '", "'_'")}) FROM t)
 SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM g GROUP BY term""")
 def word_filter(spark, sf):
     """Content unigrams only; bigrams pass unfiltered."""
