@@ -14,6 +14,7 @@ from ..session import with_stats
 from .ranks import exact_quantiles
 
 HOT_SHARE = 10_000  # a key with more than 1/HOT_SHARE of all rows is hot: at most that many exist
+HOT_ROWS = 100_000.0  # fewer rows than this cannot slow a task
 
 
 def word_terms(df, lo=1, hi=1, tok=X.tok_vectorizer, block="w", sep=" ", keep=("doc_id",), unigram_filter=None):
@@ -80,26 +81,35 @@ def idf(vocab, docs):
         "idf", F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0)
 
 
-def lookup(facts, dim, on=("block", "term"), weight="df", salt="doc_id", parts=64):
+def lookup(facts, dim, on=("block", "term"), weight="df", salt="doc_id"):
     """Inner join of a term table with a per-term table, hot terms salted.
 
-    ``weight`` is the number of fact rows of a term, so fewer than ``HOT_SHARE``
-    terms can exceed total/HOT_SHARE: that list is safe to broadcast. Hot terms
-    are spread over ``parts`` join keys; all others keep one.
+    ``weight`` bounds the number of fact rows of a term.
+    """
+    return salted_join(facts, dim, on, dim.select(*on, F.col(weight).alias("_n")), salt)
+
+
+def key_lookup(left, right, on, salt="doc_id", how="left"):
+    """Join to a side with one row per key where the left side may be skewed."""
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    return salted_join(left, right, on, sizes, salt, how)
+
+
+def salted_join(left, right, on, sizes, salt, how="inner", parts=64):
+    """Spread the rows of hot keys over ``parts`` join keys; other keys keep one.
+
+    A key is hot when it holds more than 1/HOT_SHARE of all rows (and enough rows
+    to slow a task), so there are fewer than HOT_SHARE hot keys: that list is
+    small whatever the size of the data, and is the only thing broadcast here.
     """
     on = list(on)
-    total = dim.agg((F.sum(weight) / F.lit(HOT_SHARE)).alias("_cut"))
-    hot_floor = 100_000  # below this many rows a key cannot slow a task
-    marked = with_stats(dim, total).withColumn(
-        "_hot", F.col(weight) > F.greatest(F.col("_cut"), F.lit(float(hot_floor)))).drop("_cut")
-    hot = marked.where("_hot").select(*on, F.lit(1).alias("_is_hot"))
-    left = facts.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_is_hot") == 1, F.pmod(F.xxhash64(salt), F.lit(parts))).otherwise(F.lit(0)).cast("int")
-    ).drop("_is_hot")
-    right = marked.withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    return left.join(right, [*on, "_salt"]).drop("_salt")
+    cut = sizes.agg(F.greatest(F.sum("_n") / F.lit(HOT_SHARE), F.lit(HOT_ROWS)).alias("_cut"))
+    hot = F.broadcast(with_stats(sizes, cut).where(F.col("_n") > F.col("_cut")).select(*on, F.lit(True).alias("_hot")))
+    salted = left.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(parts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    spreadout = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(spreadout, [*on, "_salt"], how).drop("_salt")
 
 
 def tf(kind="sublinear"):

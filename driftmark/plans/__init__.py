@@ -4,6 +4,6 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-FAMILIES = ["scans", "text", "styles"]
+FAMILIES = ["scans", "text", "styles", "models"]
 for _name in FAMILIES:
     importlib.import_module(f"{__name__}.{_name}")
