@@ -77,8 +77,9 @@ def _with_cuts(df, bounds, group):
     return _join_small(df, bounds, list(group))
 
 
-def running_totals(df: DataFrame, key: str, sums, group=()) -> DataFrame:
-    """Add ``cum_<c>``: inclusive running sums in ascending ``key`` order.
+def running_totals(df: DataFrame, key: str, sums, group=(), following=None) -> DataFrame:
+    """Add ``cum_<c>``: inclusive running sums in ascending ``key`` order, and on
+    request the ``following`` key of the group.
 
     ``df`` has one row per (group, key): aggregate first, so that a value shared
     by a third of the table is one row here.
@@ -92,6 +93,12 @@ def running_totals(df: DataFrame, key: str, sums, group=()) -> DataFrame:
     out = _join_small(b, off, group + ["_b"])
     for c in sums:
         out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(w))
+    if following:
+        by = [F.col(g) for g in group] or [F.lit(0)]
+        first = b.groupBy(*group, "_b").agg(F.min(key).alias("_first"))
+        nxt = first.select(*group, "_b", F.lead("_first").over(Window.partitionBy(*by).orderBy("_b")).alias("_next"))
+        inside = F.lead(key).over(Window.partitionBy(*group, "_b").orderBy(key))
+        out = _join_small(out, nxt, group + ["_b"]).withColumn(following, F.coalesce(inside, "_next")).drop("_next")
     return out.drop("cuts", "_b", *[f"_o_{c}" for c in sums])
 
 
