@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import with_stats
+from ..session import cut_lineage, with_stats
 from .terms import lookup, vocab_top
 
 
@@ -20,6 +20,7 @@ def class_totals(terms: DataFrame, value="cnt", label="label") -> DataFrame:
 def multinomial_model(terms, alpha=1.0, max_vocab=None, label="label") -> DataFrame:
     """Lidstone-smoothed class log-probabilities lp0, lp1 per term."""
     t = class_totals(terms, label=label)
+    t = cut_lineage(t)  # counted once; totals and weights read the table
     if max_vocab:
         t = vocab_top(t.withColumn("cf", F.col("c0") + F.col("c1")), max_vocab, "cf").drop("cf")
     tot = t.agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), F.count(F.lit(1)).alias("v"))
@@ -80,7 +81,7 @@ def log_ratio(vectors, alpha=1.0, binary=False, block=None, label="label") -> Da
     """r = log of the normalised class sums; terms outside ``block`` keep r = 1."""
     v = F.lit(1.0) if binary else F.col("value")
     of = lambda c: (F.lit(float(alpha)) + F.sum(F.when(F.col(label) == c, v).otherwise(0.0))).alias("pq"[1 - c])
-    t = vectors.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"), of(1), of(0))
+    t = cut_lineage(vectors.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"), of(1), of(0)))
     used = t if block is None else t.where(F.col("block") == block)
     tot = used.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
     r = F.log((F.col("p") / F.col("_p")) / (F.col("q") / F.col("_q")))
@@ -108,14 +109,14 @@ def param_sweep(train_terms, eval_terms, docs, sizes, alphas, label="label"):
 
     t = class_totals(train_terms, label=label).withColumn("cf", F.col("c0") + F.col("c1"))
     top = vocab_top(t, max(sizes), "cf")
-    top = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("cf").desc(), "block", "term")))
+    top = cut_lineage(top).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("cf").desc(), "block", "term")))
     stats = top.agg(*[F.sum(F.when(F.col("rank") <= k, F.col(f"c{c}"))).alias(f"t{c}_{k}") for k in sizes for c in (0, 1)],
                     *[F.sum(F.when(F.col("rank") <= k, 1)).alias(f"v_{k}") for k in sizes])
     grid = [(k, a) for k in sizes for a in alphas]
     lp = lambda c, k, a: F.log((F.col(f"c{c}") + a) / (F.col(f"t{c}_{k}") + F.lit(a) * F.col(f"v_{k}")))
-    weights = with_stats(top, stats).select("block", "term", "df", *[
+    weights = cut_lineage(with_stats(top, stats).select("block", "term", "df", *[
         F.when(F.col("rank") <= k, lp(1, k, a) - lp(0, k, a)).otherwise(F.lit(0.0)).alias(f"w{i}")
-        for i, (k, a) in enumerate(grid)])
+        for i, (k, a) in enumerate(grid)]))
     sums = lookup(eval_terms, weights).groupBy("doc_id").agg(
         *[F.sum(F.col("cnt") * F.col(f"w{i}")).alias(f"s{i}") for i in range(len(grid))])
     cells = F.array(*[

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import with_stats
-from .ranks import exact_quantiles
+from ..session import cut_lineage, with_stats
 
 HOT_SHARE = 10_000  # a key with more than 1/HOT_SHARE of all rows is hot: at most that many exist
 HOT_ROWS = 100_000.0  # fewer rows than this cannot slow a task
@@ -82,15 +81,19 @@ def idf(vocab, docs):
 
 
 def lookup(facts, dim, on=("block", "term"), weight="df", salt="doc_id"):
-    """Inner join of a term table with a per-term table, hot terms salted.
+    """Inner join of a term table with a fitted (materialised) per-term table.
 
-    ``weight`` bounds the number of fact rows of a term.
+    ``weight`` bounds the number of fact rows of a term, so skew is known before
+    the join.
     """
     return salted_join(facts, dim, on, dim.select(*on, F.col(weight).alias("_n")), salt)
 
 
 def key_lookup(left, right, on, salt="doc_id", how="left"):
-    """Join to a side with one row per key where the left side may be skewed."""
+    """Join to a side with one row per key where the left side may be skewed.
+
+    ``left`` is scanned twice: pass a narrow, materialised table.
+    """
     sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     return salted_join(left, right, on, sizes, salt, how)
 
@@ -101,10 +104,14 @@ def salted_join(left, right, on, sizes, salt, how="inner", parts=64):
     A key is hot when it holds more than 1/HOT_SHARE of all rows (and enough rows
     to slow a task), so there are fewer than HOT_SHARE hot keys: that list is
     small whatever the size of the data, and is the only thing broadcast here.
+    Without a hot key the join stays a plain one.
     """
     on = list(on)
-    cut = sizes.agg(F.greatest(F.sum("_n") / F.lit(HOT_SHARE), F.lit(HOT_ROWS)).alias("_cut"))
-    hot = F.broadcast(with_stats(sizes, cut).where(F.col("_n") > F.col("_cut")).select(*on, F.lit(True).alias("_hot")))
+    top, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    cut = max((total or 0) / HOT_SHARE, HOT_ROWS)
+    if (top or 0) <= cut:
+        return left.join(right, on, how)
+    hot = F.broadcast(sizes.where(F.col("_n") > F.lit(float(cut))).select(*on, F.lit(True).alias("_hot")))
     salted = left.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(parts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
@@ -138,11 +145,14 @@ def weigh(terms, weights, kind="sublinear", norm="l2", scope=("doc_id", "block")
 
 
 def fit_vocab(terms, docs, min_df=2, max_features=None, max_df=None, stop_words=None, cap_by="cf"):
-    """Vocabulary with IDF from training terms only; the cap keeps the most frequent."""
+    """Vocabulary with IDF from training terms only; the cap keeps the most frequent.
+
+    The fitted table is written once, so later joins do not tokenise again.
+    """
     v = vocab_prune(doc_freq(terms), n_docs(docs), min_df, max_df, stop_words)
     if max_features:
         v = vocab_top(v, max_features, cap_by)
-    return idf(v, docs)
+    return cut_lineage(idf(v, docs))
 
 
 def block_scale(vectors, scales: dict):
@@ -200,6 +210,3 @@ def chi2_terms(vectors, clusters):
     exp = F.col("feat") * F.col("prob")
     d = F.coalesce(F.col("obs"), F.lit(0.0)) - exp
     return full.groupBy("block", "term").agg(F.sum(d * d / exp).alias("chi2"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]

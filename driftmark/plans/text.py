@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as X
 from ..operators import terms as T
+from ..session import cut_lineage
 from ..sources import corpus as C
 from . import common as U
 from .registry import query, r
@@ -168,7 +169,7 @@ SELECT doc_id, count(*) AS n_known, sum(cnt)::BIGINT AS known_tokens FROM terms
 WHERE label IS NULL GROUP BY doc_id""")
 def vocab_lookup(spark, sf):
     """Target terms found in the labelled vocabulary; unknown terms drop out."""
-    v = T.vocab_prune(T.doc_freq(T.word_terms(C.labelled(spark, sf))), min_df=2)
+    v = cut_lineage(T.vocab_prune(T.doc_freq(T.word_terms(C.labelled(spark, sf))), min_df=2))
     hit = T.lookup(T.word_terms(C.target(spark, sf)), v.select("block", "term", "df"))
     return hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known"), F.sum("cnt").alias("known_tokens"))
 
@@ -294,7 +295,7 @@ def chi2_topic(spark, sf):
     """The 200 terms most tied to the topic (here the language) by chi-square."""
     d = C.documents(spark, sf)
     t = T.word_terms(d)
-    kept = T.vocab_prune(T.doc_freq(t), min_df=5)
+    kept = cut_lineage(T.vocab_prune(T.doc_freq(t), min_df=5))
     v = T.lookup(t, kept.select("block", "term", "df")).select("doc_id", "block", "term", T.tf().alias("value"))
     chi = T.chi2_terms(v, d.select("doc_id", F.col("lang").alias("cluster")))
     return chi.select("term", F.round("chi2", 4).alias("chi2")).orderBy(F.col("chi2").desc(), "term").limit(200)
