@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import with_stats
+from ..session import cut_lineage, with_stats
 from .shift import class_weight_balanced
 
 DIM = 1 << 18
@@ -143,7 +143,7 @@ def nbsvm(train_long, ratio, train_docs, dim=DIM, C=1.0, share=None, estimator="
         j = lookup(long, ratio)
         return j.select("doc_id", "block", "term", (F.col("value") * F.col("r")).alias("value"))
 
-    fitted = fit(estimator, vectors(train_docs, scaled(train_long), dim), C=C)
+    fitted = fit(estimator, cut_lineage(vectors(train_docs, scaled(train_long), dim)), C=C)
     b = float(fitted.model.intercept)
     coef = coefficient_table(train_docs.sparkSession, fitted, share)
 

@@ -303,11 +303,11 @@ def oof_scores(spark, sf):
 
 
 def oof_legs(spark, sf):
-    """Out-of-fold margins of three linear models, one column each."""
-    v = split_vectors(spark, sf)
+    """Out-of-fold margins (three inner folds) of three linear models, one column each."""
+    v = cut_lineage(ranks.stratified_kfold(light(spark, sf).where("label IS NOT NULL"), k=3))
     out = v.select("doc_id", "label", "fold")
     for kind in ("ridge", "logreg", "svm"):
-        s = L.oof(v, lambda t, kind=kind: L.fit(kind, t)).select("doc_id", F.col("margin").alias(kind))
+        s = L.oof(v, lambda t, kind=kind: L.fit(kind, t, max_iter=25), k=3).select("doc_id", F.col("margin").alias(kind))
         out = out.join(s, "doc_id")
     return cut_lineage(out)
 
@@ -336,7 +336,7 @@ def stack_meta(spark, sf):
     z = P.zscore(P.melt(o, ["ridge", "logreg", "svm"], ("doc_id", "label", "fold")))
     wide = z.groupBy("doc_id", "label", "fold").pivot("feature", ["ridge", "logreg", "svm"]).agg(F.first("z"))
     d = cut_lineage(L.dense_vectors(wide, ["ridge", "logreg", "svm"]).select("doc_id", "label", "fold", "features"))
-    return L.oof(d, lambda t: L.fit("logreg", t)).select("doc_id", "label", "margin", "p")
+    return L.oof(d, lambda t: L.fit("logreg", t, max_iter=25), k=3).select("doc_id", "label", "margin", "p")
 
 
 @query("noise_inject")
@@ -468,8 +468,8 @@ def tta_crops(spark, sf):
     """Mean margin over a document's crops, cut at 0."""
     d = C.corpus(spark, sf)
     tr = d.where("label IS NOT NULL")
-    vocab = cut_lineage(T.fit_vocab(T.word_terms(tr), tr))
-    fitted = L.fit("ridge", L.vectors(tr.select("doc_id", "label"), T.weigh(T.word_terms(tr), vocab), DIM))
+    vocab = T.fit_vocab(T.word_terms(tr), tr)
+    fitted = L.fit("ridge", cut_lineage(L.vectors(tr.select("doc_id", "label"), T.weigh(T.word_terms(tr), vocab), DIM)))
     t = d.where("label IS NULL").select("doc_id", "text", X.tok_ws(F.col("text")).alias("tok"))
     crops = t.select(F.col("doc_id").alias("src"), F.posexplode(X.crop_multi(F.col("text"), F.col("tok"))).alias("crop", "text"))
     crops = crops.select("src", (F.col("src") * 8 + F.col("crop")).alias("doc_id"), "text")
