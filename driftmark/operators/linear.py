@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, with_stats
-from .shift import class_weight_balanced
 
 DIM = 1 << 18
 
@@ -75,33 +74,54 @@ class Linear:
         return self.model.coefficients.toArray()
 
 
-def _weighted(df, label, weight, balanced):
-    w = F.col(weight) if weight else F.lit(1.0)
-    out = df.withColumn("_w", w.cast("double"))
-    if balanced:
-        cw = class_weight_balanced(df, label)  # two rows
-        out = out.join(F.broadcast(cw), label).withColumn("_w", F.col("_w") * F.col("class_weight")).drop("class_weight")
-    return out
+def weighted(df, label, weight, balanced):
+    """Add ``_w`` (row weight times n / (2 n_c)) and return the per-class sums.
+
+    One pass over the rows gives everything the penalties need: two rows of
+    count, sum of weights and sum of squared weights.
+    """
+    out = df.withColumn("_w", (F.col(weight) if weight else F.lit(1.0)).cast("double"))
+    rows = out.groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_w").alias("s"), F.sum(F.col("_w") * F.col("_w")).alias("q")).collect()
+    n = sum(r["n"] for r in rows)
+    factor = {r[label]: (n / (2.0 * r["n"]) if balanced else 1.0) for r in rows}
+    sums = {r[label]: (factor[r[label]] * r["s"], factor[r[label]] ** 2 * r["q"]) for r in rows}
+    f = F.lit(1.0)
+    for value, c in factor.items():
+        f = F.when(F.col(label) == value, F.lit(float(c))).otherwise(f)
+    return out.withColumn("_w", F.col("_w") * f), n, sums
+
+
+FIT_ROWS = 2_000
+
+
+def packed(d, n):
+    """Fewer partitions for a small training set: each solver step is one job over them.
+
+    A set with many rows keeps the partitions it has.
+    """
+    parts = max(1, -(-int(n) // FIT_ROWS))
+    return d.coalesce(parts) if parts < d.sparkSession.sparkContext.defaultParallelism else d
 
 
 def fit(kind, df, label="label", weight=None, balanced=True, C=1.0, alpha=0.9, max_iter=50) -> Linear:
     """``ridge`` (alpha), ``logreg`` or ``svm`` (C); penalties follow the summed-loss convention."""
-    d = _weighted(df, label, weight, balanced).withColumn("_y", F.col(label).cast("double"))
+    d, n, sums = weighted(df, label, weight, balanced)
+    d = d.withColumn("_y", F.col(label).cast("double"))
+    sw = sum(s for s, _ in sums.values())
     if kind == "ridge":
         d = d.withColumn("_y", 2.0 * F.col("_y") - 1.0)
-        a = d.agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_w")), F.sum(F.col("_w") * F.col("_y")),
-                  F.sum(F.col("_w") * F.col("_y") * F.col("_y"))).first()
-        sw, sw2, swy, swyy = (float(v) for v in a)
-        s = np.sqrt(max(swyy - swy * swy / sw, 0.0) / max(sw - sw2 / sw, 1e-12))
+        swy = sum((1 if y == 1 else -1) * s for y, (s, _) in sums.items())
+        sw2 = sum(q for _, q in sums.values())
+        s = np.sqrt(max(sw - swy * swy / sw, 0.0) / max(sw - sw2 / sw, 1e-12))
         est = MR.LinearRegression(
             featuresCol="features", labelCol="_y", weightCol="_w", standardization=False,
             elasticNetParam=0.0, solver="l-bfgs", regParam=alpha * s / sw, maxIter=max_iter, tol=1e-6)
     else:
-        sw = float(d.agg(F.sum("_w")).first()[0])
         cls = MC.LogisticRegression if kind == "logreg" else MC.LinearSVC
         est = cls(featuresCol="features", labelCol="_y", weightCol="_w", standardization=False,
                   regParam=1.0 / (C * sw), maxIter=max_iter, tol=1e-6)
-    return Linear(kind, est.fit(d.select("features", "_y", "_w")))
+    return Linear(kind, est.fit(packed(d.select("features", "_y", "_w"), n)))
 
 
 def linear_score(long, coefficients, intercept=0.0, on=("block", "term")) -> DataFrame:
