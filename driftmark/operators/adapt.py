@@ -117,9 +117,10 @@ def fused_blocks(train, docs, word=(1, 3), char=(2, 6), min_df=2, bank=True, sty
         fit = b.join(train.select("doc_id"), "doc_id", "left_semi")
         blocks.append(T.block_scale(T.standardize(b, fit), {"bank": BANK_SCALE}))
     if style:
-        arr = S.style227(docs)
+        # written first: a filter inferred from the explode must not repeat the style expressions
+        arr = cut_lineage(S.style227(docs))
         d = arr.select("doc_id", F.lit("style").alias("block"), F.posexplode("style").alias("term", "value"))
-        d = cut_lineage(d.select("doc_id", "block", F.col("term").cast("string").alias("term"), "value"))
+        d = d.select("doc_id", "block", F.col("term").cast("string").alias("term"), "value")
         fit = d.join(train.select("doc_id"), "doc_id", "left_semi")
         blocks.append(T.block_scale(T.standardize(d, fit), {"style": STYLE_SCALE}))
     return T.stack_blocks(*blocks)
