@@ -58,6 +58,21 @@ def bigrams(low):
     return word_ngrams(low, 2, "_")
 
 
+def runs_of_one_and_two(s):
+    """How many values occur exactly once, and exactly twice, in a sorted array.
+
+    The array is zipped with itself shifted, so no lambda refers to a column and
+    a pushed-down filter costs one more evaluation at most.
+    """
+    n = F.size(s)
+    before = F.concat(F.array(F.lit(None).cast("string")), s)
+    starts = F.zip_with(s, before, lambda x, p: F.when(~x.eqNullSafe(p), x))
+    differs = lambda arr, shift: F.zip_with(arr, F.slice(s, shift, n), lambda x, q: F.when(~x.eqNullSafe(q), x))
+    pair = F.zip_with(starts, F.slice(s, 2, n), lambda x, q: F.when(x == q, x))
+    found = lambda arr: F.size(F.filter(arr, lambda x: x.isNotNull()))
+    return found(differs(starts, 2)), found(differs(pair, 3))
+
+
 def annotate(df: DataFrame, words="alnum") -> DataFrame:
     """Add token, sentence and run-length arrays for the style blocks."""
     tok = tok_alnum if words == "alnum" else tok_alpha
@@ -79,20 +94,13 @@ def annotate(df: DataFrame, words="alnum") -> DataFrame:
         .otherwise(F.array(F.size("_w").cast("double"))).alias("_sl1"),
         mean_of(F.col("_wl")).alias("_wmean"),
     )
-    s = F.col("_sorted")
-    same = lambda i, j: F.coalesce(F.get(s, i) == F.get(s, j), F.lit(False))
-    index = F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)))
-    run = lambda k: F.when(
-        F.size(s) > 0,
-        F.size(F.filter(index, lambda i: ~same(i, i - 1) & ~same(i, i + k)
-                        & (same(i, i + k - 1) if k > 1 else F.lit(True)))),
-    ).otherwise(F.lit(0))
+    once, twice = runs_of_one_and_two(F.col("_sorted"))
     return out.select(
         "*",
         F.size("_w").alias("_n"),
         F.length("text").alias("_chars"),
-        run(1).alias("_hapax"),
-        run(2).alias("_dis"),
+        once.alias("_hapax"),
+        twice.alias("_dis"),
         mean_of(F.col("_sl1")).alias("_smean"),
     )
 

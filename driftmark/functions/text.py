@@ -190,9 +190,9 @@ def view_pos(tokens: Column, stop_words=K.FUNCTION_WORDS) -> Column:
     """Pseudo part of speech from suffix, casing and the token before."""
     stop = F.array(*[F.lit(w) for w in stop_words])
 
-    def tag(t, i):
+    def tag(t, before):
         low = F.lower(t)
-        starts = (i == 0) | F.coalesce(F.get(tokens, i - 1).isin(".", "!", "?"), F.lit(False))
+        starts = before.isNull() | before.isin(".", "!", "?")
         out = F.when(t.rlike(r"^\p{Nd}+$"), F.lit("CD")).when(~t.rlike(r"^\p{L}"), t)
         out = out.when(F.array_contains(stop, low), F.lit("FW"))
         for endings, code in K.POS_SUFFIXES:
@@ -200,7 +200,8 @@ def view_pos(tokens: Column, stop_words=K.FUNCTION_WORDS) -> Column:
         out = out.when(t.rlike(r"^\p{Lu}") & ~starts, F.lit("NNP"))
         return out.when(low.endswith("s"), F.lit("NNS")).otherwise(F.lit("NN"))
 
-    return F.array_join(F.transform(tokens, tag), " ")
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), tokens), 1, F.size(tokens))
+    return F.array_join(F.zip_with(tokens, before, tag), " ")
 
 
 # --- crops ------------------------------------------------------------------------

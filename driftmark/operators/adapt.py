@@ -71,7 +71,7 @@ def _fit_on(train, pool, picks):
     return linear.fit("ridge", rows)
 
 
-def cotrain(views, train, pool, rounds=2, frac=0.5):
+def cotrain(views, rounds=2, frac=0.5):
     """Two views teach each other; picks accumulate, the latest label wins.
 
     ``views``: {"word": ..., "char": ...} of (train vectors, pool vectors).
@@ -90,7 +90,7 @@ def cotrain(views, train, pool, rounds=2, frac=0.5):
     return taught
 
 
-def agree_train(views, stack, rounds=2, frac=0.5):
+def agree_train(views, rounds=2, frac=0.5):
     """Only rows both views pick with the same label are added; replaced each round."""
     picks = None
     for _ in range(rounds):

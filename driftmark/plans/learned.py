@@ -452,14 +452,14 @@ def two_views(spark, sf):
 @query("cotrain")
 def cotrain(spark, sf):
     """Word and character views teach each other; the rows taught and their labels."""
-    return A.cotrain(two_views(spark, sf), None, None, rounds=2)
+    return A.cotrain(two_views(spark, sf), rounds=2)
 
 
 @query("agree_st")
 def agree_st(spark, sf):
     """Rows both views pick with one label; falls back to none only if they never agree."""
     views = two_views(spark, sf)
-    picks = A.agree_train(views, None, rounds=2)
+    picks = A.agree_train(views, rounds=2)
     return picks if picks is not None else views["word"][1].select("doc_id", F.lit(None).cast("int").alias("label")).limit(0)
 
 

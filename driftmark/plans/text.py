@@ -369,6 +369,21 @@ for _n in (75, 150, 300, 600):
     _crops(f"trunc_tokens_{_n}", lambda t, k, n=_n: X.trunc_tokens(k, n), JOIN % f"tok[1:{_n}]")
 for _n in (500, 1000, 2000):
     _crops(f"trunc_chars_{_n}", lambda t, k, n=_n: F.substring(t, 1, n), f"left(text, {_n})")
+
+
+def _truncations(name, sizes, build, body):
+    """All lengths of one truncation in a single scan."""
+    cases = ", ".join(f"md5({body(n)}) AS md5_{n}, length({body(n)})::INT AS n_{n}" for n in sizes)
+
+    @query(name, f"WITH {U.CORPUS}, t AS (SELECT doc_id, text, {U.WS_TOK} AS tok FROM corpus) SELECT doc_id, {cases} FROM t")
+    def run(spark, sf):
+        t = C.documents(spark, sf).select("doc_id", "text", X.tok_ws(F.col("text")).alias("tok"))
+        v = t.select("doc_id", *[build(n).alias(f"s{n}") for n in sizes])
+        return v.select("doc_id", *[c for n in sizes for c in (F.md5(f"s{n}").alias(f"md5_{n}"), F.length(f"s{n}").alias(f"n_{n}"))])
+
+
+_truncations("trunc_tokens", (75, 150, 300, 600), lambda n: X.trunc_tokens(F.col("tok"), n), lambda n: JOIN % f"tok[1:{n}]")
+_truncations("trunc_chars", (500, 1000, 2000), lambda n: F.substring("text", 1, n), lambda n: f"left(text, {n})")
 _crops("head_tail", lambda t, k: X.head_tail(k),
        f"CASE WHEN len(tok) > 400 THEN {JOIN % 'list_concat(tok[1:300], tok[len(tok)-99:len(tok)])'} ELSE {JOIN % 'tok'} END")
 HASH = "('0x' || substr(md5('42:' || doc_id), 1, 12))::BIGINT"
