@@ -128,9 +128,14 @@ def tf(kind="sublinear"):
 
 
 def normalize(vectors, norm="l2", scope=("doc_id", "block"), value="value"):
-    """Divide by the row norm; ``scope`` is the block or the whole document."""
+    """Divide by the row norm; ``scope`` is the block or the whole document.
+
+    Rows are placed by document, which serves the norm of either scope and any
+    later grouping per document with a single shuffle.
+    """
     if norm is None:
         return vectors
+    vectors = vectors.repartition("doc_id")
     w = Window.partitionBy(*scope)
     size = F.sum(F.abs(value)).over(w) if norm == "l1" else F.sqrt(F.sum(F.col(value) * F.col(value)).over(w))
     return vectors.withColumn("_norm", size).withColumn(
