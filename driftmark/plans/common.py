@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
 from ..operators import ranks
-from ..session import cut_lineage
+from ..session import new_folder
 from ..sources import corpus as C
 
 
@@ -26,11 +24,8 @@ def list_sql(words) -> str:
 
 
 def scratch(spark) -> str:
-    """A fresh folder next to the session's checkpoint folder (shared on a cluster)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        cut_lineage(spark.range(1))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    """A fresh folder in the session's work folder (shared on a cluster)."""
+    return new_folder(spark, "round-trip")
 
 
 TOK = f"regexp_extract_all(lower(text), {q(K.VECTORIZER_WORD)})"

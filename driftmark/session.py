@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,18 +36,37 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, in storage that all executors share.
+
+    ``spark.checkpoint.dir`` names the place. Where it is unset (tests, a plain local session) the
+    checkpoint folder set on the context is taken, else the SQL warehouse.
+    """
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="driftmark-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/driftmark-{sc.applicationId}"
+
+
+def new_folder(spark: SparkSession, name="t") -> str:
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name="t") -> DataFrame:
+    """Write ``df`` to the work folder and read it back: cuts the lineage, keeps pruning and size estimates."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it once their results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A written copy; later reads prune columns and push filters."""
+    return written(df, "cut")
 
 
 def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
