@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from . import common as C
-from . import licenses, mixing, secrets, simhash
+from . import licenses, mixing, secrets, simhash, sketches, warc
 
 QUERIES = {}
-SQL = {"op1_mix_sources": mixing.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op9_warc_shards": warc.SQL}
 
 
 def query(fn):
@@ -36,3 +36,14 @@ def op4_secret_scan(spark, sf):
 @query
 def op5_simhash_near_dup(spark, sf):
     return simhash.near_duplicates(documents(spark, sf))
+
+
+@query
+def op8_sketches(spark, sf):
+    return sketches.edit_table(documents(spark, sf))
+
+
+@query
+def op9_warc_shards(spark, sf):
+    return warc.archive(C.read(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
