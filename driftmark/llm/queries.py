@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import common as C
-from . import licenses, mixing, secrets, simhash, sketches, warc
+from . import decontam, langid, licenses, mixing, secrets, simhash, sketches, warc
 
 QUERIES = {}
 SQL = {"op1_mix_sources": mixing.SQL, "op9_warc_shards": warc.SQL}
@@ -38,6 +38,16 @@ def op5_simhash_near_dup(spark, sf):
     return simhash.near_duplicates(documents(spark, sf))
 
 
+@query
+def op6_decontaminate(spark, sf):
+    return decontam.leaks(documents(spark, sf), C.read(spark, sf, "benchmark"))
+
+
+@query
+def op7_language_id(spark, sf):
+    return langid.identified(documents(spark, sf))
+
+
 @query
 def op8_sketches(spark, sf):
     return sketches.edit_table(documents(spark, sf))
