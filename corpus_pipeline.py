@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from driftmark.llm import common as C
-from driftmark.llm import mixing, secrets, simhash
+from driftmark.llm import decontam, langid, mixing, secrets, simhash
 from driftmark.session import written
 
 
+def language(spark, docs, sf_dir):
+    """Documents whose language is known and not rejected stay."""
+    return langid.accepted(docs)
+
+
 def near_duplicates(spark, docs, sf_dir):
     """One document of each SimHash component stays."""
     return simhash.deduplicated(docs)
 
 
+def decontaminate(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    return decontam.decontaminated(docs, C.read(spark, sf_dir, "benchmark"))
+
+
 def redact_secrets(spark, docs, sf_dir):
     """Every secret found is replaced in its text; all documents stay."""
     return secrets.redacted(docs)
@@ -23,7 +33,9 @@ def mix_sources(spark, docs, sf_dir):
 
 
 STAGES = [
+    ("language", language),
     ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
     ("redact_secrets", redact_secrets),
     ("mix_sources", mix_sources),
 ]
