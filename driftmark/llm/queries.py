@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import common as C
-from . import decontam, langid, licenses, mixing, secrets, simhash, sketches, warc
+from . import decontam, langid, licenses, mixing, secrets, simhash, sketches, toxicity, warc
 
 QUERIES = {}
 SQL = {"op1_mix_sources": mixing.SQL, "op9_warc_shards": warc.SQL}
@@ -23,6 +25,13 @@ def op1_mix_sources(spark, sf):
     return mixing.mix(documents(spark, sf))
 
 
+@query
+def op2_toxicity(spark, sf):
+    return toxicity.toxicity(documents(spark, sf), C.read(spark, sf, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", "n_words", F.size("segments").cast("long").alias("n_segments"),
+        F.array_join(F.transform("segments", lambda s: F.concat_ws(":", s["first"], s["last"])), ",").alias("segments"))
+
+
 @query
 def op3_license_scan(spark, sf):
     return licenses.license_table(documents(spark, sf))
