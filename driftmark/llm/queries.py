@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, langid, licenses, mixing, secrets, simhash, sketches, toxicity, warc
+from . import decontam, hmm, langid, licenses, mixing, secrets, simhash, sketches, toxicity, warc
 
 QUERIES = {}
 SQL = {"op1_mix_sources": mixing.SQL, "op9_warc_shards": warc.SQL}
@@ -66,3 +66,8 @@ def op8_sketches(spark, sf):
 def op9_warc_shards(spark, sf):
     return warc.archive(C.read(spark, sf, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_hmm_scores(spark, sf):
+    return hmm.scores(documents(spark, sf), F.coalesce(C.crc_mod("doc_id", 7) == 2, F.lit(False)))
