@@ -47,7 +47,7 @@ def map_texts(docs: DataFrame, make: Callable, ddl: str, keep=("doc_id",), text=
     """
     spark = docs.sparkSession
     new = _parse_datatype_string(ddl)
-    own = docs.select(*[F.col(k) for k in keep], F.col(text).cast("string").alias("_text"))
+    own = docs.select(*[F.col(k) for k in keep], F.col(text).cast("string").alias("__dm_text"))
     schema = StructType([StructField(f.name, f.dataType, True) for f in own.schema[:-1]] + new.fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -193,6 +193,6 @@ def leaks(docs: DataFrame, items: DataFrame, rate=ERROR_RATE, key="doc_id", item
 def decontaminated(docs: DataFrame, items: DataFrame, key="doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item; columns as given. Rows with a null id stay unless their text
     itself holds an item: they are searched by the hash of their text."""
-    marked = docs.withColumn("_x", F.xxhash64(options.get("text", "text")))
-    bad = leaks(marked, items, key="_x", **options).select("_x").distinct()
-    return marked.join(bad, "_x", "left_anti").select(*docs.columns)
+    marked = docs.withColumn("__dm_x", F.xxhash64(options.get("text", "text")))
+    bad = leaks(marked, items, key="__dm_x", **options).select("__dm_x").distinct()
+    return marked.join(bad, "__dm_x", "left_anti").select(*docs.columns)

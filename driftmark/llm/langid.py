@@ -146,8 +146,8 @@ class Model:
         hashes, power = {}, 1
         h = np.zeros(len(chars), np.uint64)
         for m in range(1, self.order + 1):  # h[i]: hash of the m characters that end at i
-            shifted = np.concatenate((np.zeros(m - 1, np.uint64), code[:len(code) - m + 1]))
-            h = h + shifted * np.uint64(power)
+            h = h.copy()
+            h[m - 1:] += code[:max(0, len(code) - m + 1)] * np.uint64(power)
             power = power * int(_BASE) % (1 << 64)
             hashes[m] = h
         out = np.zeros((len(at), len(self.labels)))
@@ -283,5 +283,7 @@ def accepted(docs: DataFrame, key="doc_id", text="text", **options) -> DataFrame
     """The rows of ``docs`` whose language is known and not rejected; columns as given."""
     fitted = fit(docs.where(~held_out(key)), key=key, **options)
     rest = [c for c in docs.columns if c != text]
-    kept = predict(docs.withColumn("_whole", F.col(text)), fitted, (*rest, "_whole"), text).where(~F.col("rejected"))
-    return kept.withColumnRenamed("_whole", text).select(*docs.columns)
+    own = docs.select(*[F.col(c).alias(f"__dm_{i}") for i, c in enumerate(rest)], F.col(text).alias("__dm_whole"))
+    kept = predict(own, fitted, own.columns, "__dm_whole").where(~F.col("rejected"))
+    back = {c: F.col(f"__dm_{i}").alias(c) for i, c in enumerate(rest)} | {text: F.col("__dm_whole").alias(text)}
+    return kept.select(*[back[c] for c in docs.columns])

@@ -65,16 +65,16 @@ def mixed(docs: DataFrame, key="doc_id", source="source", text="text", **options
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(C.WORD)), F.lit(0)).cast("long")
     plan = mix(docs, key=key, source=source, text=text, **options).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.col("taken").alias("_taken")).distinct()
-    rows = docs.withColumn("_n", size)
-    on = F.col(key).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    rows = rows.join(plan, on).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.expr("cast((_taken - 1) div _size as int)"))))
-    rows = rows.withColumn("mix_words", F.least(F.col("_size"), F.col("_taken") - F.col("mix_epoch") * F.col("_size")))
+        F.col("doc_id").alias("__dm_id"), F.col("source").alias("__dm_source"), F.col("size").alias("__dm_size"),
+        F.col("taken").alias("__dm_taken")).distinct()
+    rows = docs.withColumn("__dm_n", size)
+    on = F.col(key).eqNullSafe(F.col("__dm_id")) & F.col(source).eqNullSafe(F.col("__dm_source")) & (F.col("__dm_n") == F.col("__dm_size"))
+    rows = rows.join(plan, on).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.expr("cast((__dm_taken - 1) div __dm_size as int)"))))
+    rows = rows.withColumn("mix_words", F.least(F.col("__dm_size"), F.col("__dm_taken") - F.col("mix_epoch") * F.col("__dm_size")))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + C.WORD), F.lit(0)), F.lit(1), F.col("mix_words").cast("int")), "")
-    rows = rows.withColumn(text, F.when(F.col("mix_words") < F.col("_size"), head).otherwise(F.col(text)))
+    rows = rows.withColumn(text, F.when(F.col("mix_words") < F.col("__dm_size"), head).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("mix_words") < F.col("_size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("mix_words") < F.col("__dm_size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns, "mix_epoch", "mix_words")
 
 

@@ -113,7 +113,7 @@ def redacted(docs: DataFrame, mark="[SECRET]", text="text") -> DataFrame:
         return fn
 
     keep = [c for c in docs.columns if c != text]
-    out = C.map_texts(docs, make, "_clean string", keep, text).withColumnRenamed("_clean", text)
+    out = C.map_texts(docs, make, "__dm_clean string", keep, text).withColumnRenamed("__dm_clean", text)
     if "n_chars" in keep:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -52,12 +52,12 @@ def fingerprint_batch(texts: pa.Array, width=4) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, key="doc_id", text="text", width=4) -> DataFrame:
-    """``key`` and ``fp`` (a signed long) of every row; nothing is shuffled."""
+def fingerprints(docs: DataFrame, key="doc_id", text="text", width=4, keep=()) -> DataFrame:
+    """``key``, the columns ``keep`` and ``fp`` (a signed long) of every row; nothing is shuffled."""
     def make():
         return lambda texts: (pa.array(fingerprint_batch(texts, width)),)
 
-    return C.map_texts(docs, make, "fp bigint", (key,), text)
+    return C.map_texts(docs, make, "fp bigint", (key, *keep), text)
 
 
 def cell_masks(groups: int, errors: int) -> list[int]:
@@ -215,8 +215,9 @@ def deduplicated(docs: DataFrame, key="doc_id", text="text", **options) -> DataF
     Rows equal in id and text are one document. Documents with null ids stay only where their component has
     no other.
     """
-    prints = written(fingerprints(docs, key, text), "prints")
+    rows = docs.withColumn("__dm_x", F.xxhash64(text))
+    prints = written(fingerprints(rows, key, text, keep=("__dm_x",)), "prints")
     stay = prints.join(groups_of(prints, key, **options), "fp").where(F.col(key).eqNullSafe(F.col("component_id"))).select(
-        F.col(key).alias("_stay")).distinct()
-    rows = docs.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
-    return rows.withColumn("_x", F.xxhash64(text)).dropDuplicates([key, "_x"]).select(*docs.columns)
+        F.col(key).alias("__dm_stay"), F.col("__dm_x").alias("__dm_y")).distinct()
+    rows = rows.join(stay, F.col(key).eqNullSafe(F.col("__dm_stay")) & (F.col("__dm_x") == F.col("__dm_y")), "left_semi")
+    return rows.dropDuplicates([key, "__dm_x"]).select(*docs.columns)
