@@ -73,57 +73,60 @@ def _hash(grams: list[str]) -> np.ndarray:
     return out
 
 
+def _levels(raw: pd.Series, order: int):
+    """One language's floor (log-probability of a character never seen), and for each order the hashes and
+    log-probabilities of its grams and the hashes and log back-off weights of its contexts."""
+    size = raw.index.str.len().to_numpy()
+    levels, above = {}, None
+    for m in range(order, 0, -1):
+        own = raw[size == m]  # the longest order, and grams that a word's start cuts short: counted as they stand
+        if above is not None:  # others: by the number of different characters before them
+            own = pd.concat([own, pd.Series(1.0, index=above.index.str[1:])]).groupby(level=0, sort=False).sum()
+        levels[m] = above = own
+    floor = -np.log(len(levels[1]) + 1.0)
+    grams, contexts, lower = {}, {}, None
+    for m in range(1, order + 1):
+        n = levels[m].to_numpy()
+        if not len(n):
+            break
+        names = levels[m].index
+        once, twice = (n == 1).sum(), (n == 2).sum()
+        discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95) if once else 0.5
+        at, heads = pd.factorize(names.str[:-1])
+        total, kinds = np.bincount(at, n), np.bincount(at)
+        weight = discount * kinds / total
+        below = np.exp(floor) if m == 1 else lower.reindex(names.str[1:]).to_numpy()
+        lower = pd.Series(np.maximum(n - discount, 0) / total[at] + weight[at] * below, index=names)
+        grams[m] = (_hash(names.tolist()), np.log(lower.to_numpy()))
+        contexts[m] = (_hash(heads.tolist()), np.log(weight))
+    return floor, grams, contexts
+
+
 class Model:
     """Per order: sorted gram hashes with log-probabilities of all languages (nan: not seen), and sorted
     context hashes with log back-off weights (0 for a context not seen)."""
 
-    def __init__(self, counts: pd.DataFrame, order=ORDER):
-        self.labels = sorted(counts["label"].unique())
+    def __init__(self, counts: pa.Table, order=ORDER):
+        """From rows (label, gram, n); one language is worked on at a time, which bounds the memory."""
         self.order = order
-        place = {x: i for i, x in enumerate(self.labels)}
-        raw = pd.DataFrame({"l": counts["label"].map(place).to_numpy(), "g": counts["gram"].to_numpy(), "n": counts["n"].to_numpy(np.float64)})
-        size = raw["g"].str.len()
-        levels, above = {}, None
-        for m in range(order, 0, -1):
-            own = raw[size == m]  # the longest order, and grams that a word's start cuts short: counted as they stand
-            if above is not None:  # others: by the number of different characters before them
-                cut = pd.DataFrame({"l": above["l"], "g": above["g"].str[1:], "n": 1.0}).groupby(["l", "g"], as_index=False)["n"].sum()
-                own = pd.concat([own, cut]).groupby(["l", "g"], as_index=False)["n"].sum()
-            levels[m] = above = own
-        alphabet = levels[1].groupby("l").size().reindex(range(len(self.labels)), fill_value=0).to_numpy() + 1.0
-        self.floor = -np.log(alphabet)
-        self.grams, self.contexts, lower = {}, {}, None
-        for m in range(1, order + 1):
-            t = levels[m].reset_index(drop=True)
-            if not len(t):
-                break
-            once, twice = t[t.n == 1].groupby("l").size(), t[t.n == 2].groupby("l").size()
-            idx = range(len(self.labels))
-            n1, n2 = once.reindex(idx, fill_value=0).to_numpy(), twice.reindex(idx, fill_value=0).to_numpy()
-            discount = np.where(n1 > 0, n1 / np.maximum(n1 + 2 * n2, 1), 0.5).clip(0.1, 0.95)
-            t["h"] = t["g"].str[:-1]
-            by = t.groupby(["l", "h"])["n"]
-            total, kinds = by.transform("sum"), by.transform("size")
-            d = discount[t["l"]]
-            weight = d * kinds / total
-            if m == 1:
-                below = np.exp(self.floor)[t["l"]]
-            else:
-                key = pd.MultiIndex.from_arrays([t["l"], t["g"].str[1:]])
-                below = lower.reindex(key).to_numpy()
-            p = np.maximum(t["n"] - d, 0) / total + weight * below
-            lower = pd.Series(p.to_numpy(), index=pd.MultiIndex.from_arrays([t["l"], t["g"]]))
-            self.grams[m] = self._table(t["l"], t["g"], np.log(p), np.nan)
-            first = ~t.duplicated(["l", "h"])
-            self.contexts[m] = self._table(t["l"][first], t["h"][first], np.log(weight[first]), 0.0)
-
-    def _table(self, label, gram, value, empty):
-        names, at = np.unique(gram.to_numpy(), return_inverse=True)
-        keys = _hash(names.tolist())
-        rows = np.full((len(keys), len(self.labels)), empty, np.float32)
-        rows[at, label.to_numpy()] = value
-        by = np.argsort(keys)
-        return keys[by], rows[by]
+        label = counts.column("label").combine_chunks().dictionary_encode()
+        self.labels = sorted(label.dictionary.to_pylist())
+        parts = []
+        for x in self.labels:
+            own = counts.filter(pc.equal(counts.column("label"), x))
+            parts.append(_levels(pd.Series(own.column("n").to_numpy().astype(np.float64), index=own.column("gram").to_pylist()), order))
+        self.floor = np.array([p[0] for p in parts])
+        self.grams = {m: self._merged([p[1].get(m) for p in parts], np.nan) for m in range(1, order + 1)}
+        self.contexts = {m: self._merged([p[2].get(m) for p in parts], 0.0) for m in range(1, order + 1)}
+
+    def _merged(self, tables, empty):
+        """Sorted hashes of all languages, and a column of values for each."""
+        keys = np.unique(np.concatenate([t[0] for t in tables if t] or [np.zeros(1, np.uint64)]))
+        rows = np.full((len(keys), len(tables)), empty, np.float32)
+        for i, t in enumerate(tables):
+            if t:
+                rows[np.searchsorted(keys, t[0]), i] = t[1]
+        return keys, rows
 
     @staticmethod
     def _look(table, h):
@@ -153,8 +156,6 @@ class Model:
         out = np.zeros((len(at), len(self.labels)))
         open_ = np.ones((len(at), len(self.labels)), bool)
         for m in range(self.order, 0, -1):
-            if m not in self.grams:
-                continue
             rows = np.flatnonzero((depth >= m) & open_.any(1))
             if not len(rows):
                 continue
@@ -214,8 +215,8 @@ def fit(train: DataFrame, label="lang", key="doc_id", text="text", per_language=
     held-back text reach the driver: both are bounded by the sample.
     """
     drawn = sample(train.select(key, label, text), label, per_language, key).withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(5)))
-    counts = gram_counts(drawn.where("_part <> 0"), label, text).toPandas()
-    if not len(counts):
+    counts = gram_counts(drawn.where("_part <> 0"), label, text).toArrow()
+    if not counts.num_rows:
         return None, None
     model = Model(counts)
 

@@ -366,11 +366,9 @@ def test_matcher_misses_nothing_within_budget():
 
 
 def test_kneser_ney_sums_to_one():
-    import pandas as pd
-
     texts = {"x": ["abab", "abc", "b"], "y": ["ccc", "cab"]}
     counts = Counter((x, g) for x, ws in texts.items() for w in ws for g in langid._grams(w))
-    model = langid.Model(pd.DataFrame([(x, g, n) for (x, g), n in counts.items()], columns=["label", "gram", "n"]))
+    model = langid.Model(pa.Table.from_pylist([{"label": x, "gram": g, "n": n} for (x, g), n in counts.items()]))
     every = [""]
     for _ in range(5):
         every += [w + c for w in every if len(w) == len(every[-1]) for c in "abc"]
