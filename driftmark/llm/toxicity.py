@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import common as C
 
 #: Hashed slots of the counts (two numbers each: the only model data that reaches the driver).
@@ -20,6 +21,8 @@ LEVELS = (3, 4, 5, 6, 7, 8, 0)
 PRIOR = 8.0
 #: A segment is significant when fewer than so many such segments are expected in a clean text.
 E_VALUE = 0.3
+#: Labels (an id and a number each) that are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _BINS = np.concatenate((np.arange(0, 4, 0.25), np.arange(4, 20, 0.5), np.arange(20, 100, 5), [1e300]))
 
 
@@ -77,8 +80,8 @@ def count_slots(batches):
 class Model:
     """Slot counts, and after ``calibrate`` the decay and rate of clean segment scores and the score's levels."""
 
-    def __init__(self, n, toxic, docs, toxic_docs):
-        self.n, self.toxic = n, toxic
+    def __init__(self, counts, docs, toxic_docs):
+        self.counts = counts  # (documents, toxic documents) per slot, or a broadcast of them
         self.base = (toxic_docs + 0.5) / (docs + 1.0)
         self.decay, self.rate = 1.0, 1.0
         self.levels = None
@@ -88,7 +91,8 @@ class Model:
         mean is the level before. A level counts what the next one does not, so no document counts twice.
         ``own`` (a 0/1 label per row) takes the row's own document out of the counts."""
         p = np.full(len(slots), self.base)
-        ns, ts = self.n[slots].astype(np.float64), self.toxic[slots].astype(np.float64)
+        n, t = getattr(self.counts, "value", self.counts)
+        ns, ts = n[slots].astype(np.float64), t[slots].astype(np.float64)
         if own is not None:
             ns, ts = np.maximum(ns - 1, 0), np.maximum(ts - own[:, None], 0)
         for level in range(slots.shape[1]):
@@ -218,13 +222,15 @@ def fit(labelled: DataFrame, label="toxic", text="text") -> Model | None:
     by = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
     if not by:
         return None
-    summed = lambda fn, ddl, key, sums: rows.mapInArrow(fn, ddl).groupBy(key).agg(*[F.sum(c).alias(c) for c in sums]).toPandas().sort_values(key)
-    got = summed(count_slots, "slot int, n bigint, toxic bigint", "slot", ("n", "toxic"))
+    summed = lambda fn, ddl, key, sums: rows.mapInArrow(fn, ddl).groupBy(key).agg(*[F.sum(c).alias(c) for c in sums])
+    got = summed(count_slots, "slot int, n bigint, toxic bigint", "slot", ("n", "toxic")).select("slot", F.col("n").cast("int"), F.col("toxic").cast("int")).toArrow()
     n, toxic = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-    n[got["slot"]], toxic[got["slot"]] = got["n"], got["toxic"]
-    model = Model(n, toxic, sum(by.values()), by.get(1, 0))
-    tail(model, summed(lambda it: best_scores(model, it), "i int, n double, words double", "i", ("n", "words")))
-    hist = summed(lambda it: evidence_levels(model, it), "i int, clean double, toxic double", "i", ("clean", "toxic"))
+    at = got.column("slot").to_numpy()
+    n[at], toxic[at] = got.column("n").to_numpy(), got.column("toxic").to_numpy()
+    del got, at
+    model = Model(rows.sparkSession.sparkContext.broadcast((n, toxic)), sum(by.values()), by.get(1, 0))  # of fixed size
+    tail(model, summed(lambda it: best_scores(model, it), "i int, n double, words double", "i", ("n", "words")).toPandas().sort_values("i"))
+    hist = summed(lambda it: evidence_levels(model, it), "i int, clean double, toxic double", "i", ("clean", "toxic")).toPandas().sort_values("i")
     model.levels = pooled(hist["clean"].to_numpy(), hist["toxic"].to_numpy(), model.base)
     return model
 
@@ -284,7 +290,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, key="doc_id", label="toxic", te
     only id and text are read.
     """
     marks = labels.select(F.col(key).alias("_id"), F.col(label).alias("_label")).where(~held_out("_id") & F.col("_label").isNotNull())
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
     train = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(marks, F.col("_key") == F.col("_id")).select("_label", "_text")
-    model = fit(train, "_label", "_text")
+    model = fit(written(train, "labelled"), "_label", "_text")
     return toxic_spans(docs, model, (key,), text).withColumn("held_out", held_out(key)).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
