@@ -15,13 +15,13 @@ from . import terms as T
 WORD_SCALE, BANK_SCALE, STYLE_SCALE, RIDGE_ALPHA, PICK_SHARE = 1.6, 0.02, 0.04, 0.9, 0.5
 
 
-def domain_features(train, target, lo=3, hi=5, min_df=5, cap=30_000, dim=1 << 16) -> DataFrame:
+def domain_features(train, target, lo=3, hi=5, min_df=5) -> DataFrame:
     """Character TF-IDF fitted on the training text, vectors for both sides; domain 0/1."""
     docs = train.select("doc_id", "text", F.lit(0).alias("domain")).unionByName(
         target.select("doc_id", "text", F.lit(1).alias("domain")))
-    v = T.fit_vocab(T.char_wb_terms(train, lo, hi), train, min_df, cap)
+    v = T.fit_vocab(T.char_wb_terms(train, lo, hi), train, min_df)
     long = T.weigh(T.char_wb_terms(docs, lo, hi), v)
-    return cut_lineage(linear.vectors(docs.select("doc_id", "domain"), long, dim))
+    return cut_lineage(linear.vectors(docs.select("doc_id", "domain"), long))
 
 
 def domain_scores(features, folds=None, seed=13, C=1.0) -> DataFrame:
@@ -126,14 +126,14 @@ def fused_blocks(train, docs, word=(1, 3), char=(2, 6), min_df=2, bank=True, sty
     return T.stack_blocks(*blocks)
 
 
-def flagship(train, target, dim=linear.DIM, **legs) -> DataFrame:
+def flagship(train, target, **legs) -> DataFrame:
     """Fused legs, importance weights, one balanced self-training round, label override.
 
     ``train``: doc_id, text, label; ``target``: doc_id, text.
     """
     docs = train.select("doc_id", "text", "label").unionByName(
         target.select("doc_id", "text", F.lit(None).cast("int").alias("label")))
-    vec = cut_lineage(linear.vectors(docs.select("doc_id", "label"), fused_blocks(train, docs, **legs), dim))
+    vec = cut_lineage(linear.vectors(docs.select("doc_id", "label"), fused_blocks(train, docs, **legs)))
     w = importance_weights(train, target)
     tr = cut_lineage(vec.where("label IS NOT NULL").join(w, "doc_id").withColumnRenamed("w", "weight"))
     pool = vec.where("label IS NULL").drop("label")

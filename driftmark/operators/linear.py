@@ -11,11 +11,11 @@ from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, with_stats
+from ..session import cut_lineage, with_stats, written
 
 DIM = 1 << 18
 
@@ -25,6 +25,22 @@ def hashed(long: DataFrame, dim=DIM) -> DataFrame:
     return long.withColumn("idx", F.pmod(F.xxhash64("block", "term"), F.lit(dim)).cast("int"))
 
 
+def column_index(long: DataFrame) -> DataFrame:
+    """(block, term, idx): one column for each distinct term, counted from 0 in (block, term) order.
+
+    The terms are range-sorted; the sizes of the ranges (as many rows as partitions) give their offsets, and
+    rows are numbered only inside a range. No vocabulary reaches the driver.
+    """
+    terms = long.select("block", "term").distinct().repartitionByRange("block", "term")
+    at = written(terms.withColumn("_p", F.spark_partition_id()), "terms")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = at.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).select(
+        F.col("_p"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_p").orderBy("block", "term")
+    return written(at.join(offsets, "_p").select(
+        "block", "term", (F.col("_o") + F.row_number().over(inside) - 1).cast("int").alias("idx")), "index")
+
+
 def _sparse(dim):
     @F.udf(VectorUDT(), useArrow=True)
     def build(idx, val):
@@ -36,12 +52,20 @@ def _sparse(dim):
     return build
 
 
-def vectors(docs: DataFrame, long: DataFrame, dim=DIM) -> DataFrame:
-    """docs plus ``features``: one sparse vector per document (colliding terms add up).
+def vectors(docs: DataFrame, long: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """docs plus ``features``: one sparse vector per document with a column for each term of ``index``
+    (by default of ``long``); terms without a column are left out.
 
-    The grouping is per document, so a group is bounded by one document's terms.
+    The grouping is per document, so a group is bounded by one document's terms; terms that many documents
+    hold are spread over several join keys.
     """
-    rows = hashed(long, dim).groupBy("doc_id").agg(
+    from .terms import salted_join
+
+    long = written(long, "long")
+    index = column_index(long) if index is None else index
+    dim = max(1, index.count())
+    sizes = long.groupBy("block", "term").agg(F.count(F.lit(1)).alias("_n"))
+    rows = salted_join(long, index, ("block", "term"), sizes, "doc_id").groupBy("doc_id").agg(
         F.collect_list("idx").alias("_i"), F.collect_list("value").alias("_v"))
     return docs.join(rows, "doc_id", "left").withColumn("features", _sparse(dim)("_i", "_v")).drop("_i", "_v")
 
@@ -148,14 +172,14 @@ def logreg_gradient(long, labels, coefficients, l2=0.0) -> DataFrame:
 
 
 def coefficient_table(spark, fitted: Linear, share=None) -> DataFrame:
-    """(idx, w) rows; ``share`` interpolates each weight with the mean |w|. Size = DIM."""
+    """(idx, w) rows, one per column; ``share`` interpolates each weight with the mean |w|."""
     w = fitted.coefficients
     if share is not None:
         w = (1.0 - share) * np.abs(w).mean() + share * w
     return spark.createDataFrame(pd.DataFrame({"idx": np.arange(len(w), dtype="int32"), "w": w}))
 
 
-def nbsvm(train_long, ratio, train_docs, dim=DIM, C=1.0, share=None, estimator="svm"):
+def nbsvm(train_long, ratio, train_docs, C=1.0, share=None, estimator="svm"):
     """Fit on vectors scaled by the NB log-ratio; returns (scaler, scorer)."""
     from .terms import lookup
 
@@ -163,12 +187,13 @@ def nbsvm(train_long, ratio, train_docs, dim=DIM, C=1.0, share=None, estimator="
         j = lookup(long, ratio)
         return j.select("doc_id", "block", "term", (F.col("value") * F.col("r")).alias("value"))
 
-    fitted = fit(estimator, cut_lineage(vectors(train_docs, scaled(train_long), dim)), C=C)
+    index = column_index(ratio)
+    fitted = fit(estimator, cut_lineage(vectors(train_docs, scaled(train_long), index)), C=C)
     b = float(fitted.model.intercept)
-    coef = coefficient_table(train_docs.sparkSession, fitted, share)
+    coef = index.join(coefficient_table(train_docs.sparkSession, fitted, share), "idx").drop("idx")
 
     def score(long):
-        return linear_score(hashed(scaled(long), dim), coef, b, on=("idx",))
+        return linear_score(scaled(long), coef, b)
 
     return scaled, score
 

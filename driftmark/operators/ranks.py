@@ -70,9 +70,16 @@ def bucket_bounds(df: DataFrame, value: str, group=(), n=BUCKETS) -> DataFrame |
     return df.sparkSession.createDataFrame(data, rows.schema)
 
 
+def tie_bounds(df: DataFrame, key: str, n=BUCKETS) -> list:
+    """At most ``n`` sorted cut points of a column of any ordered type: every 20th of the 20 n distinct values
+    with the least hashes."""
+    rows = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(20 * n).collect()
+    return sorted(r[0] for r in rows)[20::20]
+
+
 def _with_cuts(df, bounds, group):
     if isinstance(bounds, list):
-        cuts = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
+        cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
         return df.withColumn("cuts", cuts)
     return _join_small(df, bounds, list(group))
 
@@ -109,16 +116,15 @@ def global_rank(df: DataFrame, value: str, tie: str, group=(), descending=False,
     column, so one value held by a third of all rows is still spread out.
     """
     group = list(group)
-    df = df.withColumn("_v", (-F.col(value) if descending else F.col(value)).cast("double")).withColumn(
-        "_k", F.col(tie).cast("double"))
+    df = df.withColumn("_v", (-F.col(value) if descending else F.col(value)).cast("double")).withColumn("_k", F.col(tie))
     vb = _with_cuts(df, bucket_bounds(df, "_v", group), group).withColumnRenamed("cuts", "_vc")
-    kb = bucket_bounds(df, "_k")
+    kb = tie_bounds(df, "_k")
     b = _with_cuts(vb, kb, []).select(
         "*",
         F.size(F.filter("_vc", lambda x: x < F.col("_v"))).alias("_b"),
         F.array_contains("_vc", F.col("_v")).cast("int").alias("_e"),
     ).withColumn(
-        "_s", F.when(F.col("_e") == 1, F.size(F.filter("cuts", lambda x: x < F.col("_k")))).otherwise(F.lit(0)))
+        "_s", F.when(F.col("_e") == 1, F.size(F.filter("cuts", lambda x: x < F.col("_k"))) if kb else F.lit(0)).otherwise(F.lit(0)))
     order = ["_b", "_e", "_s"]
     off = _offsets(b, group, order, {"n": F.count(F.lit(1))})
     w = Window.partitionBy(*group, *order).orderBy("_v", tie)

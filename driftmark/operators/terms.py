@@ -185,11 +185,11 @@ def dense_block(df, columns, block, keep="doc_id"):
 def standardize(long, fit=None, floor=1e-12):
     """(x - mean) / population sd per (block, term), fitted on ``fit``; tiny sd counts as 1.
 
-    The statistics table has one row per dense column.
+    The statistics table has one row per dense column; Spark's own size check decides how it is joined.
     """
     fit = long if fit is None else fit
     st = fit.groupBy("block", "term").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    return long.join(F.broadcast(st), ["block", "term"]).select(
+    return long.join(st, ["block", "term"]).select(
         "doc_id", "block", "term",
         ((F.col("value") - F.col("_m")) / F.when(F.col("_s") > floor, F.col("_s")).otherwise(F.lit(1.0))).alias("value"))
 
@@ -202,16 +202,17 @@ def log1p_l2(df, col="x"):
 
 
 def chi2_terms(vectors, clusters):
-    """Chi-square of each term against a cluster label, from observed and expected sums."""
+    """Chi-square of each term against a cluster label, from observed and expected sums.
+
+    Both sums run over the clusters to the same total, so chi2 = sum(observed^2 / expected) - total: only the
+    cells that occur are needed.
+    """
     x = vectors.join(clusters, "doc_id")
     obs = x.groupBy("block", "term", "cluster").agg(F.sum("value").alias("obs"))
-    tot = vectors.groupBy("block", "term").agg(F.sum("value").alias("feat"))
+    tot = obs.groupBy("block", "term").agg(F.sum("obs").alias("feat"))
     share = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"))
     share = with_stats(share, share.agg(F.sum("c").alias("n"))).select("cluster", (F.col("c") / F.col("n")).alias("prob"))
-    cells = tot.withColumn("_all", share.agg(F.collect_list(F.struct("cluster", "prob")).alias("a")).scalar())
-    cells = cells.select("block", "term", "feat", F.explode("_all").alias("s")).select(
-        "block", "term", "feat", "s.cluster", "s.prob")
-    full = cells.join(obs, ["block", "term", "cluster"], "left")
-    exp = F.col("feat") * F.col("prob")
-    d = F.coalesce(F.col("obs"), F.lit(0.0)) - exp
-    return full.groupBy("block", "term").agg(F.sum(d * d / exp).alias("chi2"))
+    cells = obs.join(share, "cluster").groupBy("block", "term").agg(
+        F.sum(F.col("obs") * F.col("obs") / F.col("prob")).alias("_q"))
+    chi2 = F.col("_q") / F.when(F.col("feat") != 0, F.col("feat")) - F.col("feat")
+    return cells.join(tot, ["block", "term"]).select("block", "term", F.greatest(chi2, F.lit(0.0)).alias("chi2"))

@@ -26,15 +26,13 @@ from .registry import query, r
 from .styles import LONG14
 from .text import SLIDE, WORD_TFIDF
 
-DIM = 1 << 14
 
-
-def light(spark, sf, fit_on="label IS NOT NULL", dim=DIM):
+def light(spark, sf, fit_on="label IS NOT NULL"):
     """Word TF-IDF vectors of every document, fitted on the labelled text: doc_id, label, features."""
     d = C.corpus(spark, sf)
     tr = d.where(fit_on)
     long = T.weigh(T.word_terms(d), T.fit_vocab(T.word_terms(tr), tr))
-    return cut_lineage(L.vectors(d.select("doc_id", "label"), long, dim))
+    return cut_lineage(L.vectors(d.select("doc_id", "label"), long))
 
 
 def split_vectors(spark, sf):
@@ -208,7 +206,7 @@ def svd_lsa(spark, sf):
     d = C.corpus(spark, sf)
     tr = d.where("label IS NOT NULL")
     long = T.weigh(T.word_terms(d), T.fit_vocab(T.word_terms(tr), tr))
-    return NN.lsa(long, 20, DIM)[0]
+    return NN.lsa(long, 20)[0]
 
 
 @query("pca_knn")
@@ -260,7 +258,7 @@ def nbsvm(spark, sf):
     """Linear fit on log-ratio scaled vectors, weights interpolated with their mean size."""
     long, lab, ratio = ratio_parts(spark, sf)
     train = C.labelled(spark, sf).select("doc_id", "label")
-    _, score = L.nbsvm(lab.drop("label"), ratio, train, DIM, share=0.25)
+    _, score = L.nbsvm(lab.drop("label"), ratio, train, share=0.25)
     s = score(long).join(C.target(spark, sf).select("doc_id"), "doc_id", "left_semi")
     return s.withColumn("label", (F.col("margin") > 0).cast("int"))
 
@@ -444,7 +442,7 @@ def two_views(spark, sf):
     tr = d.where("label IS NOT NULL")
     out = {}
     for name, terms in (("word", lambda x: T.word_terms(x)), ("char", lambda x: T.char_wb_terms(x, 3, 3))):
-        v = cut_lineage(L.vectors(d.select("doc_id", "label"), T.weigh(terms(d), T.fit_vocab(terms(tr), tr)), DIM))
+        v = cut_lineage(L.vectors(d.select("doc_id", "label"), T.weigh(terms(d), T.fit_vocab(terms(tr), tr))))
         out[name] = (v.where("label IS NOT NULL"), v.where("label IS NULL").drop("label"))
     return out
 
@@ -469,11 +467,12 @@ def tta_crops(spark, sf):
     d = C.corpus(spark, sf)
     tr = d.where("label IS NOT NULL")
     vocab = T.fit_vocab(T.word_terms(tr), tr)
-    fitted = L.fit("ridge", cut_lineage(L.vectors(tr.select("doc_id", "label"), T.weigh(T.word_terms(tr), vocab), DIM)))
+    index = L.column_index(vocab)
+    fitted = L.fit("ridge", cut_lineage(L.vectors(tr.select("doc_id", "label"), T.weigh(T.word_terms(tr), vocab), index)))
     t = d.where("label IS NULL").select("doc_id", "text", X.tok_ws(F.col("text")).alias("tok"))
     crops = t.select(F.col("doc_id").alias("src"), F.posexplode(X.crop_multi(F.col("text"), F.col("tok"))).alias("crop", "text"))
-    crops = crops.select("src", (F.col("src") * 8 + F.col("crop")).alias("doc_id"), "text")
-    v = L.vectors(crops.select("src", "doc_id"), T.weigh(T.word_terms(crops), vocab), DIM)
+    crops = crops.select("src", F.concat_ws(":", "src", "crop").alias("doc_id"), "text")
+    v = L.vectors(crops.select("src", "doc_id"), T.weigh(T.word_terms(crops), vocab), index)
     return fitted.score(v).groupBy(F.col("src").alias("doc_id")).agg(
         F.avg("margin").alias("margin"), F.count(F.lit(1)).alias("n_crops")).withColumn("label", (F.col("margin") > 0).cast("int"))
 
@@ -482,15 +481,14 @@ def tta_crops(spark, sf):
 def shift_words(spark, sf):
     """Words with the largest domain coefficient, as a stop list.
 
-    The index-to-word map comes from joining the vocabulary with the fitted
-    weights on the hashed index; a shared index lists every word on it.
+    Each word has a column of its own, so the fitted weights join its index.
     """
     d = C.corpus(spark, sf)
-    vocab = T.fit_vocab(T.word_terms(d), d, 5, 40_000)
+    vocab = T.fit_vocab(T.word_terms(d), d, 5)
     long = T.weigh(T.word_terms(d), vocab)
-    v = cut_lineage(L.vectors(d.select("doc_id", F.col("label").isNull().cast("int").alias("domain")), long, 1 << 18))
+    v = cut_lineage(L.vectors(d.select("doc_id", F.col("label").isNull().cast("int").alias("domain")), long, index := L.column_index(vocab)))
     m = L.fit("svm", v, "domain", C=0.5, max_iter=20)
-    words = L.hashed(vocab.select("block", "term"), 1 << 18).join(L.coefficient_table(spark, m), "idx")
+    words = index.join(L.coefficient_table(spark, m), "idx")
     return words.select("term", "w", F.abs("w").alias("size")).orderBy(F.col("size").desc(), "term").limit(200).select("term", "w")
 
 
@@ -521,10 +519,10 @@ def eval_rep(spark, sf):
     out = None
     for rep, terms in (("word12", lambda x: T.word_terms(x, 1, 2)), ("char3", lambda x: T.char_wb_terms(x, 3, 3))):
         # the vocabulary is fitted per fold, on its training side only
-        for i in range(3):
+        for i in range(5):
             tr = lab.join(folds.where(F.col("fold") != i).select("doc_id"), "doc_id")
             v = T.weigh(terms(lab), T.fit_vocab(terms(tr), tr))
-            d = cut_lineage(L.vectors(folds, v, DIM))
+            d = cut_lineage(L.vectors(folds, v))
             f = A.eval_folds(d, lambda t: L.fit("svm", t, C=0.25, max_iter=20), folds=[i])
             f = f.select(F.lit(rep).alias("rep"), "fold", "f1")
             out = f if out is None else out.unionByName(f)

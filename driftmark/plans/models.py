@@ -187,7 +187,7 @@ def _mean(c, b):
 
 @query("ngram_logprob", f"""WITH {_BANK_BLOCKS} SELECT doc_id, {', '.join(
     r(_mean(0, b), f'{b}_lp0') + ', ' + r(_mean(1, b), f'{b}_lp1') + ', ' + r(_mean(0, b) + ' - ' + _mean(1, b), f'{b}_llr')
-    for b, _ in L.BANK)} FROM corpus LEFT JOIN bs USING (doc_id) GROUP BY doc_id""")
+    for b in L.BANK)} FROM corpus LEFT JOIN bs USING (doc_id) GROUP BY doc_id""")
 def ngram_logprob(spark, sf):
     """Mean log-probability of each document under the two class models, four n-gram kinds."""
     docs = C.documents(spark, sf)

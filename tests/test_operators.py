@@ -212,3 +212,34 @@ def test_threshold_sweep_counts_each_cut(spark):
 def test_coordinate_descent_walks_to_the_best():
     best, s = E.coordinate_descent(lambda c: -(c["a"] - 2) ** 2 - (c["b"] - 1) ** 2, {"a": [0, 1, 2], "b": [0, 1]}, {"a": 0, "b": 0})
     assert best == {"a": 2, "b": 1} and s == 0
+
+
+def test_every_term_has_a_column_of_its_own(spark):
+    from driftmark.operators import linear as L
+
+    long = spark.createDataFrame([(d, "w", f"t{i}", float(i + 1)) for d in range(3) for i in range(d, 300)],
+                                 "doc_id long, block string, term string, value double").repartition(5)
+    index = L.column_index(long)
+    rows = [(r.term, r.idx) for r in index.collect()]
+    assert sorted(i for _, i in rows) == list(range(300)) and [t for t, _ in sorted(rows, key=lambda r: r[1])] == sorted(t for t, _ in rows)
+    v = {r.doc_id: r.features for r in L.vectors(long.select("doc_id").distinct(), long, index).collect()}
+    assert all(v[d].size == 300 and v[d][dict(rows)[f"t{i}"]] == (i + 1 if i >= d else 0) for d in range(3) for i in (0, 1, 2, 299))
+
+
+def test_ranks_with_text_ids(spark):
+    from driftmark.operators import ranks
+
+    rows = [(f"id-{i:04d}", float(i % 3 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id string, v double").repartition(4)
+    got = {r.doc_id: r.rk for r in ranks.global_rank(df, "v", "doc_id").collect()}
+    want = {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert got == want
+
+
+def test_chi_square_from_observed_cells(spark):
+    from driftmark.operators import terms as T
+
+    vec = spark.createDataFrame([(1, "w", "a", 1.0), (2, "w", "a", 2.0), (3, "w", "b", 4.0), (4, "w", "a", 1.0)], "doc_id long, block string, term string, value double")
+    cl = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1)], "doc_id long, cluster int")
+    got = {r.term: r.chi2 for r in T.chi2_terms(vec, cl).collect()}
+    assert got["a"] == pytest.approx((3 - 2) ** 2 / 2 + (1 - 2) ** 2 / 2) and got["b"] == pytest.approx(4.0)
