@@ -86,16 +86,19 @@ def fingerprints(docs: DataFrame, key="doc_id", text="text", fraction=FRACTION)
 def with_next(docs: DataFrame, fn, ddl: str, key="doc_id", text="text") -> DataFrame:
     """``key`` and what ``fn(text, next text)`` gives, next by ascending ``key`` (after the last: the first).
 
-    Texts are moved once, dealt by range of the key. Cut points come from the ids with the least hashes (100
-    a partition); each range's first row is copied to the end of the range before it, so every task reads its
+    Texts are moved once, dealt by range of the key. Cut points come from a sample by hash (about 100
+    ids a partition); each range's first row is copied to the end of the range before it, so every task reads its
     rows in order and needs no neighbour. Null ids stand first; rows with one id stand by the hash of their text.
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).withColumn("_x", F.xxhash64("_t"))
-    ids = [r[0] for r in docs.select(F.col(key).alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(100 * n).collect()]
-    cuts = sorted(set(sorted(ids)[100::100])) if len(ids) == 100 * n else sorted(set(ids))[max(1, len(ids) // n)::max(1, len(ids) // n)][:n - 1]
+    total = max(1, docs.count())
+    drawn = docs.select(F.col(key).alias("k")).where(F.col("k").isNotNull() & (F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < F.lit(min(1 << 40, (100 * n << 40) // total))))
+    ids = sorted(r[0] for r in drawn.collect())  # about 100 a partition, or all of a small table
+    step = max(1, -(-len(ids) // n))
+    cuts = sorted(set(ids[step::step]))
     held = np.array(cuts, dtype=object if cuts and isinstance(cuts[0], str) else None)
 
     @F.pandas_udf("int")
