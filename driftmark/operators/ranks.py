@@ -18,8 +18,9 @@ BUCKETS = 128
 
 
 def md5_order(seed, key: Column) -> Column:
-    """Reproducible shuffle key, identical in any SQL engine."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    """Reproducible shuffle key, identical in any SQL engine; ``seed`` may be a column."""
+    seed = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat(seed, F.lit(":"), key.cast("string")))
 
 
 def _offsets(bucketed: DataFrame, group, order, sums: dict) -> DataFrame:
@@ -175,6 +176,14 @@ def stratified_holdout(df, label="label", key="doc_id", frac=0.1, seed=42):
     return ranked.withColumn("split", F.when(val, "val").otherwise("train")).drop("rk", "_n")
 
 
+def seeded_holdouts(df, seed, label="label", key="doc_id", frac=0.1):
+    """``stratified_holdout`` for every value of the column ``seed`` at once."""
+    n = df.groupBy(seed, label).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = _join_small(hash_rank(df, F.col(seed), key, [seed, label]), n, [seed, label])
+    val = F.col("rk") < F.bround(F.col("_n") * F.lit(frac))
+    return ranked.withColumn("split", F.when(val, "val").otherwise("train")).drop("rk", "_n")
+
+
 def run_of(rank, n, k):
     """Which of ``k`` near-equal runs a rank falls in; the first n mod k runs are longer."""
     q, m = F.floor(n / F.lit(k)), n % F.lit(k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as X
 from ..operators import ranks
-from ..session import new_folder
+from ..session import new_folder, written
 from ..sources import corpus as C
 
 
@@ -73,8 +73,13 @@ folded AS (SELECT * EXCLUDE (rk, n), (CASE WHEN rk < (n // 5 + 1) * (n % 5) THEN
     ELSE n % 5 + (rk - (n // 5 + 1) * (n % 5)) // greatest(n // 5, 1) END)::INT AS fold FROM ranked)"""
 
 
+def stored(scores):
+    """Scores written once, so that ranks and splits, which read their input several times, never go back to the texts."""
+    return written(scores, "scores")
+
+
 def folded(spark, sf):
-    return ranks.stratified_kfold(scored(spark, sf), "y")
+    return ranks.stratified_kfold(stored(scored(spark, sf)), "y")
 
 
 def f1_sql(y="y", pred="pred") -> str:

@@ -109,11 +109,20 @@ def sink_metrics(spark, sf):
     return spark.read.schema("metric string, value double").json(path)
 
 
-@query("verify_sink", f"""WITH {U.LEGS} SELECT count(*) AS n_rows, count(*) AS n_expected,
-0::BIGINT AS missing_ids, 0::BIGINT AS unexpected_ids, 0::BIGINT AS repeated_ids, 0::BIGINT AS bad_labels
-FROM legs WHERE y IS NULL""")
+@query("verify_sink", f"""WITH {U.LEGS}, p AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 7 ELSE (p_a >= 0.5)::INT END AS label FROM legs WHERE y IS NULL),
+f AS (SELECT doc_id, label FROM p WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, label FROM p WHERE doc_id % 11 = 0
+ UNION ALL SELECT -1 - doc_id, label FROM p WHERE doc_id % 17 = 0),
+g AS (SELECT doc_id, count(*) AS got, sum((label NOT IN (0, 1))::INT) AS bad FROM f GROUP BY doc_id),
+j AS (SELECT g.doc_id AS a, p.doc_id AS b, got, bad FROM g FULL JOIN p ON g.doc_id = p.doc_id)
+SELECT coalesce(sum(got), 0)::BIGINT AS n_rows, count(b) AS n_expected, sum((a IS NULL)::INT)::BIGINT AS missing_ids,
+sum((b IS NULL)::INT)::BIGINT AS unexpected_ids, coalesce(sum((got > 1)::INT), 0)::BIGINT AS repeated_ids,
+coalesce(sum(CASE WHEN got = 1 OR bad > 0 THEN bad END), 0)::BIGINT AS bad_labels FROM j""")
 def verify_sink(spark, sf):
-    return sinks.verify_predictions(_predictions(spark, sf), C.target(spark, sf).select("doc_id"))
+    """Audit of a faulty prediction table: ids left out, repeated or made up, and labels out of range."""
+    p = U.stored(_predictions(spark, sf)).withColumn("label", F.when(F.col("doc_id") % 13 == 0, 7).otherwise(F.col("label")))
+    faulty = p.where(F.col("doc_id") % 7 != 0).unionByName(p.where(F.col("doc_id") % 11 == 0)).unionByName(
+        p.where(F.col("doc_id") % 17 == 0).withColumn("doc_id", -1 - F.col("doc_id")))
+    return sinks.verify_predictions(faulty, p.select("doc_id"))
 
 
 # --- projections and filters --------------------------------------------------------
@@ -204,7 +213,7 @@ def train_complement(spark, sf):
   count(*) OVER () AS n FROM scored)
 SELECT doc_id, (((rk + 1) * 5 - 1) // n)::INT AS fold FROM t""")
 def testlike_quintiles(spark, sf):
-    return ranks.quintiles(U.scored(spark, sf).select("doc_id", "p_b"), "p_b").select("doc_id", "fold")
+    return ranks.quintiles(U.stored(U.scored(spark, sf).select("doc_id", "p_b")), "p_b").select("doc_id", "fold")
 
 
 @query("fold_two_class_guard", f"""WITH {U.LEGS}, {U.FOLDS}, g AS (SELECT (doc_id % 37)::INT AS grp, y FROM folded)
@@ -220,6 +229,6 @@ def fold_two_class_guard(spark, sf):
 SELECT (((rk + 1) * 5 - 1) // n)::INT AS quintile, {r('avg(y)', 'positive_rate')}, min(doc_id) AS min_id, max(doc_id) AS max_id
 FROM t GROUP BY 1""")
 def id_drift(spark, sf):
-    s = U.scored(spark, sf).select("doc_id", "y")
+    s = U.stored(U.scored(spark, sf).select("doc_id", "y"))
     return ranks.quintiles(s, "doc_id").groupBy(F.col("fold").alias("quintile")).agg(
         F.avg("y").alias("positive_rate"), F.min("doc_id").alias("min_id"), F.max("doc_id").alias("max_id"))

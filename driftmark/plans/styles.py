@@ -254,7 +254,16 @@ def label_corr(spark, sf):
     return P.label_corr(style_long(spark, sf)).orderBy(F.abs("corr").desc(), "feature").limit(10)
 
 
-@query("greedy_decorrelate")
+@query("greedy_decorrelate", f"""WITH RECURSIVE {LONG14}, s AS (SELECT feature, {r(SEP, 'score')} FROM lf GROUP BY feature),
+o AS (SELECT feature, score, row_number() OVER (ORDER BY score DESC, feature) AS i FROM s),
+cr AS (SELECT a.feature AS a, b.feature AS b, coalesce(CASE WHEN isnan(corr(a.value, b.value)) THEN 0 ELSE corr(a.value, b.value) END, 0) AS c
+ FROM lf a JOIN lf b USING (doc_id) WHERE a.feature <> b.feature GROUP BY ALL),
+cf AS (SELECT x.i, x.feature, x.score, coalesce(list(y.i) FILTER (abs(c) > 0.6), []::BIGINT[]) AS against
+ FROM o x LEFT JOIN cr ON cr.a = x.feature LEFT JOIN o y ON y.feature = cr.b AND y.i < x.i GROUP BY ALL),
+st AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+ SELECT cf.i, CASE WHEN list_has_any(kept, against) THEN kept ELSE list_append(kept, cf.i) END FROM st JOIN cf ON cf.i = st.i + 1),
+fin AS (SELECT kept FROM st ORDER BY i DESC LIMIT 1)
+SELECT list_position(kept, i)::INT AS pick, feature, score FROM o, fin WHERE list_contains(kept, i)""")
 def greedy_decorrelate(spark, sf):
     """Features in rank order, skipping those too correlated with one already kept."""
     lab = S.style14(C.labelled(spark, sf), keep=("doc_id", "label"))
