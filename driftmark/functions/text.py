@@ -246,6 +246,13 @@ def hash_int(seed, key, digits=12):
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("long")
 
 
+def hash_normal(seed, key):
+    """Standard normal number from the md5 of ``seed:key`` (Box-Muller on its first 24 hex digits)."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    unit = lambda at: (F.conv(F.substring(h, at, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return F.sqrt(-2.0 * F.log(unit(1))) * F.cos(2.0 * F.pi() * unit(13))
+
+
 def crop_random(text, tokens, key, n, seed=42):
     """Seeded contiguous window of ``n`` tokens; short texts stay raw."""
     n = F.lit(n) if isinstance(n, int) else n

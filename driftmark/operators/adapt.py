@@ -71,7 +71,30 @@ def _fit_on(train, pool, picks):
     return linear.fit("ridge", rows)
 
 
-def cotrain(views, rounds=2, frac=0.5):
+def fused_views(views):
+    """Train and pool rows of all views with their vectors end to end."""
+    from pyspark.ml.feature import VectorAssembler
+
+    def side(i):
+        out = None
+        for name, both in views.items():
+            v = both[i].withColumnRenamed("features", name)
+            out = v if out is None else out.join(v.select("doc_id", name), "doc_id")
+        return cut_lineage(VectorAssembler(inputCols=list(views), outputCol="features").transform(out).drop(*views))
+
+    return side(0), side(1)
+
+
+def predict_fused(views, picks):
+    """Final predictor of both loops: ridge on the fused vectors of the training rows and the picks."""
+    tr, po = fused_views(views)
+    s = _fit_on(tr, po, picks).score(po).select("doc_id", "margin", (F.col("margin") > 0).cast("int").alias("label"))
+    if picks is None:
+        return s.withColumn("pseudo_label", F.lit(None).cast("int"))
+    return s.join(picks.select("doc_id", F.col("label").alias("pseudo_label")), "doc_id", "left")
+
+
+def cotrain(views, rounds=3, frac=0.5):
     """Two views teach each other; picks accumulate, the latest label wins.
 
     ``views``: {"word": ..., "char": ...} of (train vectors, pool vectors).
@@ -90,7 +113,7 @@ def cotrain(views, rounds=2, frac=0.5):
     return taught
 
 
-def agree_train(views, rounds=2, frac=0.5):
+def agree_train(views, rounds=3, frac=0.5):
     """Only rows both views pick with the same label are added; replaced each round."""
     picks = None
     for _ in range(rounds):
@@ -150,7 +173,7 @@ def kmeans(vecs, k, seed=42) -> DataFrame:
     """Topic clusters of sparse vectors."""
     from pyspark.ml.clustering import KMeans
 
-    m = KMeans(k=k, seed=seed, maxIter=10, featuresCol="features", predictionCol="cluster").fit(vecs)
+    m = KMeans(k=k, seed=seed, maxIter=100, featuresCol="features", predictionCol="cluster").fit(vecs)
     return m.transform(vecs).select("doc_id", "cluster")
 
 

@@ -116,6 +116,8 @@ def weighted(df, label, weight, balanced):
     return out.withColumn("_w", F.col("_w") * f), n, sums
 
 
+#: Solver steps allowed before a fit ends short of its tolerance; the hinge loss uses all it gets.
+MAX_ITER = 50
 FIT_ROWS = 2_000
 
 
@@ -128,7 +130,7 @@ def packed(d, n):
     return d.coalesce(parts) if parts < d.sparkSession.sparkContext.defaultParallelism else d
 
 
-def fit(kind, df, label="label", weight=None, balanced=True, C=1.0, alpha=0.9, max_iter=50) -> Linear:
+def fit(kind, df, label="label", weight=None, balanced=True, C=1.0, alpha=0.9, max_iter=MAX_ITER) -> Linear:
     """``ridge`` (alpha), ``logreg`` or ``svm`` (C); penalties follow the summed-loss convention."""
     d, n, sums = weighted(df, label, weight, balanced)
     d = d.withColumn("_y", F.col(label).cast("double"))
@@ -204,6 +206,44 @@ def calibrate(scores, label="label", weight=None):
     return fit("logreg", vec, label, weight, balanced=False, C=1e6)
 
 
+def ridge_path(df, columns, alphas, label="y", fold="fold") -> DataFrame:
+    """Out-of-fold class-balanced ridge margins for every penalty, from one pass over the rows.
+
+    A few dense columns: their sums and products per (fold, class) are all that the closed form needs, so one
+    small aggregate serves every fold and penalty. Returns (alpha, label, margin), one row per row and penalty.
+    """
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    d = len(cols)
+    cells = [(i, j) for i in range(d) for j in range(i, d)]
+    rows = df.groupBy(fold, label).agg(*[F.sum(cols[i] * cols[j]).alias(f"s_{i}_{j}") for i, j in cells]).collect()
+    gram = {}
+    for r in rows:
+        g = np.zeros((d, d))
+        for i, j in cells:
+            g[i, j] = g[j, i] = r[f"s_{i}_{j}"]
+        gram[r[fold], r[label]] = g
+    classes = sorted({y for _, y in gram})
+    fits = []
+    for held in sorted({f for f, _ in gram}):
+        by_class = {y: sum((g for (f, c), g in gram.items() if f != held and c == y), np.zeros((d, d))) for y in classes}
+        n = sum(g[0, 0] for g in by_class.values())
+        a, b = np.zeros((d, d)), np.zeros(d)
+        for y, g in by_class.items():
+            if g[0, 0]:
+                w = n / (2.0 * g[0, 0])
+                a += w * g
+                b += w * (2.0 * y - 1.0) * g[0]
+        for alpha in alphas:
+            coef = np.linalg.lstsq(a + np.diag([0.0] + [alpha] * (d - 1)), b, rcond=None)[0]
+            fits.append((held, float(alpha), *map(float, coef)))
+    names = [f"_c{i}" for i in range(d)]
+    spark = df.sparkSession
+    # folds x penalties rows
+    table = spark.createDataFrame(fits, "_held int, alpha double, " + ", ".join(f"{n} double" for n in names))
+    margin = sum((cols[i] * F.col(names[i]) for i in range(1, d)), F.col(names[0]))
+    return df.join(F.broadcast(table), F.col(fold) == F.col("_held")).select("alpha", label, margin.alias("margin"))
+
+
 def oof(df, fit_fn, fold="fold", k=5) -> DataFrame:
     """Out-of-fold scores: each row scored once, by a model that never saw it.
 

@@ -1,5 +1,6 @@
 """Iterative fits and the loops around them (row checks), with their relational parts (SQL checks)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -241,16 +242,25 @@ _fit_query("linear_svm", "svm", C=0.25)
 _fit_query("ridge_clf", "ridge", alpha=0.9)
 
 
-@query("ridge_cv_meta")
+@query("ridge_cv_meta", f"""WITH {U.LEGS}, {U.FOLDS}, hs AS (SELECT unnest(range(5))::INT AS held),
+al AS (SELECT pow(10.0, -2 + 5 * i / 11.0) AS alpha FROM (SELECT unnest(range(12)) AS i)),
+cl AS (SELECT held, y, count(*) AS c FROM folded, hs WHERE fold <> held GROUP BY ALL),
+wt AS (SELECT held, y, sum(c) OVER (PARTITION BY held) / (2.0 * c) AS w FROM cl),
+tr AS (SELECT held, m_a, m_b, 2 * f.y - 1 AS t, w FROM folded f JOIN wt ON f.y = wt.y AND fold <> held),
+mo AS (SELECT held, sum(w * m_a) / sum(w) AS a, sum(w * m_b) / sum(w) AS b, sum(w * t) / sum(w) AS tm FROM tr GROUP BY held),
+ce AS (SELECT held, a, b, tm, sum(w * (m_a - a) * (m_a - a)) AS aa, sum(w * (m_a - a) * (m_b - b)) AS ab, sum(w * (m_b - b) * (m_b - b)) AS bb,
+ sum(w * (m_a - a) * (t - tm)) AS yat, sum(w * (m_b - b) * (t - tm)) AS ybt FROM tr JOIN mo USING (held) GROUP BY ALL),
+co AS (SELECT held, alpha, a, b, tm, ((bb + alpha) * yat - ab * ybt) / ((aa + alpha) * (bb + alpha) - ab * ab) AS ca,
+ ((aa + alpha) * ybt - ab * yat) / ((aa + alpha) * (bb + alpha) - ab * ab) AS cb FROM ce, al),
+pr AS (SELECT alpha, y, (tm + ca * (m_a - a) + cb * (m_b - b) > 0)::INT AS pred FROM folded JOIN co ON fold = held),
+f1 AS (SELECT alpha, {U.f1_sql()} AS f FROM pr GROUP BY alpha)
+SELECT {r('alpha', 'alpha')}, {r('f', 'macro_f1')}, (row_number() OVER (ORDER BY round(f, 9) DESC, alpha) = 1)::INT AS best FROM f1""")
 def ridge_cv_meta(spark, sf):
-    """Macro-F1 of ridge over a log grid of penalties; the best one marked."""
-    d = cut_lineage(ranks.stratified_kfold(L.dense_vectors(U.scored(spark, sf), ["m_a", "m_b"]), "y", k=3))
-    out = None
-    for a in [0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]:
-        s = L.oof(d, lambda t, a=a: L.fit("ridge", t, "y", alpha=a), k=3)
-        f = M.macro_f1(s.withColumn("pred", (F.col("margin") > 0).cast("int"))).select(F.lit(a).alias("alpha"), "macro_f1")
-        out = f if out is None else out.unionByName(f)
-    return out
+    """Macro-F1 of ridge over twelve penalties, out of fold; the best one (the smallest on ties) marked."""
+    s = L.ridge_path(cut_lineage(U.folded(spark, sf)), ["m_a", "m_b"], [10 ** (-2 + 5 * i / 11) for i in range(12)])
+    f = M.macro_f1(s.withColumn("pred", (F.col("margin") > 0).cast("int")), by=["alpha"]).select("alpha", "macro_f1")
+    best = f.agg(F.max(F.struct(F.round("macro_f1", 9).alias("f"), (-F.col("alpha")).alias("a"))).alias("b")).select((-F.col("b.a")).alias("_best"))
+    return with_stats(f, best).select("alpha", "macro_f1", (F.col("alpha") == F.col("_best")).cast("int").alias("best"))
 
 
 @query("nbsvm")
@@ -277,21 +287,21 @@ _tree_query("gbt", "boost", maxIter=20, maxDepth=3, stepSize=0.1)
 
 @query("tree_calib")
 def tree_calib(spark, sf):
-    """Depth-3 tree on out-of-fold margin and log length."""
+    """Depth-3 tree on out-of-fold margin and log length, itself scored on folds it has not seen."""
     v = split_vectors(spark, sf)
-    s = L.oof(v, lambda t: L.fit("ridge", t)).select("doc_id", "label", "margin")
+    s = L.oof(v, lambda t: L.fit("ridge", t)).select("doc_id", "label", "fold", "margin")
     n = C.labelled(spark, sf).select("doc_id", F.log1p(F.length("text").cast("double")).alias("log_chars"))
     d = cut_lineage(L.dense_vectors(s.join(n, "doc_id"), ["margin", "log_chars"]))
-    return R.fit_trees("tree", d, maxDepth=3)(d).select("doc_id", "label", "p")
+    return L.oof(d, lambda t: R.Trees("tree", t, maxDepth=3)).select("doc_id", "label", "p")
 
 
 @query("calibrate_sigmoid")
 def calibrate_sigmoid(spark, sf):
-    """Platt scaling of out-of-fold SVM margins."""
+    """Platt scaling of out-of-fold SVM margins, each row scaled by a fit on the other folds."""
     v = split_vectors(spark, sf)
-    s = cut_lineage(L.oof(v, lambda t: L.fit("svm", t)).select("doc_id", "label", "margin"))
-    m = L.calibrate(s)
-    return m.score(L.dense_vectors(s, ["margin"]).select("doc_id", "label", "features")).select("doc_id", "label", "p")
+    s = cut_lineage(L.oof(v, lambda t: L.fit("svm", t)).select("doc_id", "label", "fold", "margin"))
+    d = L.dense_vectors(s, ["margin"]).select("doc_id", "label", "fold", "features")
+    return L.oof(d, lambda t: L.fit("logreg", t, balanced=False, C=1e6)).select("doc_id", "label", "p")
 
 
 @query("oof_scores")
@@ -305,7 +315,7 @@ def oof_legs(spark, sf):
     v = cut_lineage(ranks.stratified_kfold(light(spark, sf).where("label IS NOT NULL"), k=3))
     out = v.select("doc_id", "label", "fold")
     for kind in ("ridge", "logreg", "svm"):
-        s = L.oof(v, lambda t, kind=kind: L.fit(kind, t, max_iter=25), k=3).select("doc_id", F.col("margin").alias(kind))
+        s = L.oof(v, lambda t, kind=kind: L.fit(kind, t), k=3).select("doc_id", F.col("margin").alias(kind))
         out = out.join(s, "doc_id")
     return cut_lineage(out)
 
@@ -334,17 +344,24 @@ def stack_meta(spark, sf):
     z = P.zscore(P.melt(o, ["ridge", "logreg", "svm"], ("doc_id", "label", "fold")))
     wide = z.groupBy("doc_id", "label", "fold").pivot("feature", ["ridge", "logreg", "svm"]).agg(F.first("z"))
     d = cut_lineage(L.dense_vectors(wide, ["ridge", "logreg", "svm"]).select("doc_id", "label", "fold", "features"))
-    return L.oof(d, lambda t: L.fit("logreg", t, max_iter=25), k=3).select("doc_id", "label", "margin", "p")
+    return L.oof(d, lambda t: L.fit("logreg", t), k=3).select("doc_id", "label", "margin", "p")
+
 
+def _normal_sql(seed):
+    h = f"md5('{seed}:' || doc_id)"
+    u = [f"((('0x' || substr({h}, {at}, 12))::BIGINT + 0.5) / 281474976710656.0)" for at in (1, 13)]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
 
-@query("noise_inject")
+
+@query("noise_inject", f"""WITH {U.LEGS}, sd AS (SELECT stddev_pop(m_a) AS sa, stddev_pop(m_b) AS sb FROM scored)
+SELECT doc_id, {r(f'm_a + 0.05 * sa * {_normal_sql(42)}', 'm_a')}, {r(f'm_b + 0.05 * sb * {_normal_sql(43)}', 'm_b')} FROM scored, sd""")
 def noise_inject(spark, sf):
-    """Seeded Gaussian noise on the meta features, scaled to each feature's spread."""
-    o = U.scored(spark, sf)
+    """Seeded Gaussian noise on the meta features, scaled to each feature's spread; it depends on seed and id only."""
+    o = U.stored(U.scored(spark, sf))
     sd = o.agg(F.stddev_pop("m_a").alias("sa"), F.stddev_pop("m_b").alias("sb"))
     n = with_stats(o, sd)
-    return n.select("doc_id", (F.col("m_a") + 0.05 * F.col("sa") * F.randn(42)).alias("m_a"),
-                    (F.col("m_b") + 0.05 * F.col("sb") * F.randn(43)).alias("m_b"))
+    return n.select("doc_id", (F.col("m_a") + 0.05 * F.col("sa") * X.hash_normal(42, F.col("doc_id"))).alias("m_a"),
+                    (F.col("m_b") + 0.05 * F.col("sb") * X.hash_normal(43, F.col("doc_id"))).alias("m_b"))
 
 
 # --- topics and lenses ---------------------------------------------------------------------------
@@ -449,31 +466,36 @@ def two_views(spark, sf):
 
 @query("cotrain")
 def cotrain(spark, sf):
-    """Word and character views teach each other; the rows taught and their labels."""
-    return A.cotrain(two_views(spark, sf), rounds=2)
+    """Word and character views teach each other; predictions of the final fused fit and the labels taught."""
+    views = two_views(spark, sf)
+    return A.predict_fused(views, cut_lineage(A.cotrain(views)))
 
 
 @query("agree_st")
 def agree_st(spark, sf):
-    """Rows both views pick with one label; falls back to none only if they never agree."""
+    """Rows both views pick with one label join the training rows; predictions of the final fused fit."""
     views = two_views(spark, sf)
-    picks = A.agree_train(views, rounds=2)
-    return picks if picks is not None else views["word"][1].select("doc_id", F.lit(None).cast("int").alias("label")).limit(0)
+    return A.predict_fused(views, A.agree_train(views))
 
 
 @query("tta_crops")
 def tta_crops(spark, sf):
-    """Mean margin over a document's crops, cut at 0."""
+    """Mean margin over a document's crops under each of the four crop transforms, cut at 0."""
     d = C.corpus(spark, sf)
     tr = d.where("label IS NOT NULL")
     vocab = T.fit_vocab(T.word_terms(tr), tr)
     index = L.column_index(vocab)
     fitted = L.fit("ridge", cut_lineage(L.vectors(tr.select("doc_id", "label"), T.weigh(T.word_terms(tr), vocab), index)))
     t = d.where("label IS NULL").select("doc_id", "text", X.tok_ws(F.col("text")).alias("tok"))
-    crops = t.select(F.col("doc_id").alias("src"), F.posexplode(X.crop_multi(F.col("text"), F.col("tok"))).alias("crop", "text"))
-    crops = crops.select("src", F.concat_ws(":", "src", "crop").alias("doc_id"), "text")
-    v = L.vectors(crops.select("src", "doc_id"), T.weigh(T.word_terms(crops), vocab), index)
-    return fitted.score(v).groupBy(F.col("src").alias("doc_id")).agg(
+    text, tok = F.col("text"), F.col("tok")
+    kinds = {"head": F.array(X.crop_head(text, tok)), "cond": F.array(X.crop_head(text, tok, longer_than=K.CROP_IF_LONGER)),
+             "multi": X.crop_multi(text, tok), "slide": X.sliding_windows(text, tok)}
+    sets = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("texts")) for k, c in kinds.items()])
+    crops = t.select(F.col("doc_id").alias("src"), F.explode(sets).alias("s")).select(
+        "src", "s.kind", F.posexplode("s.texts").alias("crop", "text"))
+    crops = cut_lineage(crops.select("src", "kind", F.concat_ws(":", "kind", "crop", "src").alias("doc_id"), "text"))
+    v = L.vectors(crops.select("src", "kind", "doc_id"), T.weigh(T.word_terms(crops), vocab), index)
+    return fitted.score(v).groupBy(F.col("src").alias("doc_id"), F.col("kind").alias("transform")).agg(
         F.avg("margin").alias("margin"), F.count(F.lit(1)).alias("n_crops")).withColumn("label", (F.col("margin") > 0).cast("int"))
 
 
@@ -487,7 +509,7 @@ def shift_words(spark, sf):
     vocab = T.fit_vocab(T.word_terms(d), d, 5)
     long = T.weigh(T.word_terms(d), vocab)
     v = cut_lineage(L.vectors(d.select("doc_id", F.col("label").isNull().cast("int").alias("domain")), long, index := L.column_index(vocab)))
-    m = L.fit("svm", v, "domain", C=0.5, max_iter=20)
+    m = L.fit("svm", v, "domain", C=0.5)
     words = index.join(L.coefficient_table(spark, m), "idx")
     return words.select("term", "w", F.abs("w").alias("size")).orderBy(F.col("size").desc(), "term").limit(200).select("term", "w")
 
@@ -523,7 +545,7 @@ def eval_rep(spark, sf):
             tr = lab.join(folds.where(F.col("fold") != i).select("doc_id"), "doc_id")
             v = T.weigh(terms(lab), T.fit_vocab(terms(tr), tr))
             d = cut_lineage(L.vectors(folds, v))
-            f = A.eval_folds(d, lambda t: L.fit("svm", t, C=0.25, max_iter=20), folds=[i])
+            f = A.eval_folds(d, lambda t: L.fit("svm", t, C=0.25), folds=[i])
             f = f.select(F.lit(rep).alias("rep"), "fold", "f1")
             out = f if out is None else out.unionByName(f)
     return out
@@ -535,10 +557,12 @@ def grid_search(spark, sf):
     v = cut_lineage(ranks.stratified_kfold(light(spark, sf).where("label IS NOT NULL"), k=3))
     out = None
     for c in (0.1, 1.0, 10.0):
-        f = A.eval_folds(v, lambda t, c=c: L.fit("logreg", t, C=c, max_iter=20), folds=range(3))
+        f = A.eval_folds(v, lambda t, c=c: L.fit("logreg", t, C=c), folds=range(3))
         f = f.agg(F.avg("f1").alias("f1")).select(F.lit(c).alias("C"), "f1")
         out = f if out is None else out.unionByName(f)
-    return out
+    # one row per grid point
+    place = Window.orderBy(F.round("f1", 9).desc(), "C")
+    return cut_lineage(out).withColumn("rank", F.row_number().over(place))
 
 
 @query("coordinate_descent")

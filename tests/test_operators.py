@@ -169,8 +169,12 @@ def test_lsa_matches_a_dense_svd(spark):
     x = rng.normal(size=(30, 6)) * np.array([9, 5, 3, 1, 0.5, 0.1])
     rows = [(i, "b", f"t{j}", float(x[i, j])) for i in range(30) for j in range(6)]
     long = spark.createDataFrame(rows, "doc_id long, block string, term string, value double")
-    _, sigma = NN.lsa(long, 3, dim=4096, rounds=8, extra=3)
-    assert np.allclose(sigma, np.linalg.svd(x, compute_uv=False)[:3], rtol=1e-4)
+    scores, sigma = NN.lsa(long.withColumn("doc_id", F.concat(F.lit("u-"), "doc_id")), 3)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(sigma, s[:3], rtol=1e-4)
+    got = {r["doc_id"]: r["x"] for r in scores.collect()}
+    mine = np.array([got[f"u-{i}"] for i in range(30)])
+    assert np.allclose(mine @ mine.T, (u[:, :3] * s[:3]) @ (u[:, :3] * s[:3]).T, atol=1e-6)
 
 
 def test_weights_keep_mean_one_and_bounds(spark):
