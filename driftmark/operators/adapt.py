@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import style as S
-from ..session import cut_lineage
+from ..session import cut_lineage, with_stats
 from . import dedup, langmodel, linear, metrics, ranks, shift
 from . import terms as T
 
@@ -177,6 +177,52 @@ def kmeans(vecs, k, seed=42) -> DataFrame:
     return m.transform(vecs).select("doc_id", "cluster")
 
 
+def nested_stack(v, kinds, metas, fold="fold", k=3, inner=3, seed=1) -> DataFrame:
+    """Scores of meta models over base margins where nothing was fitted on the row that is scored.
+
+    For each outer fold the bases give inner out-of-fold margins on its training side; their means and spreads
+    scale both sides, and each meta model is fitted on them. The bases, refitted on the whole training side,
+    then score the held fold. ``metas``: name -> function from rows (label, features, fold, margins) to a model
+    with ``score``. Returns (doc_id, label, fold, meta, score), one row per document and meta model.
+    """
+    kinds = list(kinds)
+
+    def legs(rows, score):
+        out = rows
+        for kind in kinds:
+            out = out.join(score(kind).select("doc_id", F.col("margin").alias(kind)), "doc_id")
+        return cut_lineage(out)
+
+    out = None
+    for i in range(k):
+        tr = cut_lineage(ranks.stratified_kfold(v.where(F.col(fold) != i).select("doc_id", "label", "features"), k=inner, seed=seed))
+        ho = v.where(F.col(fold) == i).select("doc_id", "label", "features")
+        seen = legs(tr.select("doc_id", "label", "fold"), lambda kind: linear.oof(tr, lambda t: linear.fit(kind, t), k=inner))
+        held = legs(ho.select("doc_id", "label"), lambda kind: linear.fit(kind, tr).score(ho))
+        stats = seen.agg(*[F.avg(c).alias(f"_m_{c}") for c in kinds], *[F.stddev_pop(c).alias(f"_s_{c}") for c in kinds])
+
+        def scaled(rows, keep):
+            sd = lambda c: F.when(F.col(f"_s_{c}") > 1e-12, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
+            z = with_stats(rows, stats).select(*keep, *[((F.col(c) - F.col(f"_m_{c}")) / sd(c)).alias(c) for c in kinds])
+            return cut_lineage(linear.dense_vectors(z, kinds))
+
+        fit_on, score_on = scaled(seen, ("doc_id", "label", "fold")), scaled(held, ("doc_id", "label"))
+        for name, fit_meta in metas.items():
+            s = fit_meta(fit_on).score(score_on)
+            value = F.col("p") if "p" in s.columns else F.col("margin")
+            s = s.select("doc_id", "label", F.lit(i).alias("fold"), F.lit(name).alias("meta"), value.alias("score"))
+            out = s if out is None else out.unionByName(s)
+    return out
+
+
+def best_ridge(rows, columns, alphas):
+    """Ridge meta model with the penalty of the best out-of-fold macro-F1 (the smallest on ties)."""
+    s = linear.ridge_path(rows, columns, alphas, label="label")
+    f = metrics.macro_f1(s.withColumn("pred", (F.col("margin") > 0).cast("int")), "label", "pred", ["alpha"])
+    alpha = f.orderBy(F.round("macro_f1", 9).desc(), "alpha").first()["alpha"]  # one row per penalty
+    return linear.fit("ridge", rows, alpha=alpha)
+
+
 def eval_folds(df, fit_fn, fold="fold", label="label", folds=range(5)) -> DataFrame:
     """Macro-F1 per fold for a fit function over vectors (train on the rest)."""
     out = None

@@ -115,7 +115,7 @@ def zscore(long, fit=None, floor=1e-12):
     fit = long if fit is None else fit
     st = fit.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     sd = F.when(F.col("_s") > floor, F.col("_s")).otherwise(F.lit(1.0))
-    return long.join(F.broadcast(st), "feature").withColumn("z", (F.col("value") - F.col("_m")) / sd).drop("_m", "_s")
+    return long.join(st, "feature").withColumn("z", (F.col("value") - F.col("_m")) / sd).drop("_m", "_s")
 
 
 def word_rates(df, words, label="label"):

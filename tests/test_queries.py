@@ -41,6 +41,23 @@ def test_self_training_invariants(spark):
     assert 0 < r["pseudo_used"].sum() < len(r)
 
 
+def test_nested_stack_scores_every_row_once_per_meta(spark):
+    import numpy as np
+
+    from driftmark.operators import adapt as A
+    from driftmark.operators import linear as L
+    from driftmark.operators import ranks
+
+    rng = np.random.default_rng(0)
+    rows = [(f"id-{i}", i % 2, float(a + i % 2), float(b)) for i, (a, b) in enumerate(rng.normal(size=(60, 2)))]
+    d = L.dense_vectors(spark.createDataFrame(rows, "doc_id string, label int, a double, b double"), ["a", "b"])
+    v = ranks.stratified_kfold(d.select("doc_id", "label", "features"), k=2)
+    metas = {"logistic": lambda t: L.fit("logreg", t), "ridge_cv": lambda t: A.best_ridge(t, ["ridge", "logreg"], [0.1, 1.0])}
+    s = A.nested_stack(v, ["ridge", "logreg"], metas, k=2, inner=2).toPandas()
+    assert len(s) == 120 and not s.duplicated(["doc_id", "meta"]).any()
+    assert s["score"].notna().all() and set(s["meta"]) == set(metas)
+
+
 def test_importance_weights_have_mean_one(spark):
     w = entry.queries()["iw_insample"](spark, SF).toPandas()["w"]
     assert abs(w.mean() - 1) < 1e-5 and w.min() > 0
