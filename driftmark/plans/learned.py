@@ -339,12 +339,16 @@ def greedy_diverse_models(spark, sf):
 
 @query("stack_meta")
 def stack_meta(spark, sf):
-    """Standardised out-of-fold legs under a logistic meta model, itself scored out of fold."""
-    o = oof_legs(spark, sf)
-    z = P.zscore(P.melt(o, ["ridge", "logreg", "svm"], ("doc_id", "label", "fold")))
-    wide = z.groupBy("doc_id", "label", "fold").pivot("feature", ["ridge", "logreg", "svm"]).agg(F.first("z"))
-    d = cut_lineage(L.dense_vectors(wide, ["ridge", "logreg", "svm"]).select("doc_id", "label", "fold", "features"))
-    return L.oof(d, lambda t: L.fit("logreg", t), k=3).select("doc_id", "label", "margin", "p")
+    """Nested stacking: three linear legs under logistic, ridge (best of twelve penalties) and boosted meta
+    models; legs, scaling and meta models never see the fold they are scored on."""
+    legs = ["ridge", "logreg", "svm"]
+    metas = {"logistic": lambda t: L.fit("logreg", t),
+             "ridge_cv": lambda t: A.best_ridge(t, legs, [10 ** (-2 + 5 * i / 11) for i in range(12)]),
+             "boosted": lambda t: R.Trees("boost", t, maxIter=20, maxDepth=2, stepSize=0.1)}
+    v = cut_lineage(ranks.stratified_kfold(light(spark, sf).where("label IS NOT NULL"), k=3))
+    s = A.nested_stack(v, legs, metas)
+    cut = F.when(F.col("meta") == "ridge_cv", 0.0).otherwise(0.5)
+    return s.withColumn("pred", (F.col("score") > cut).cast("int"))
 
 
 def _normal_sql(seed):
