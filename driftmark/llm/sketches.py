@@ -14,7 +14,9 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from . import common as C
 
 #: Bytes of a shingle (three words of a long), and the fraction of all hashes that a sketch retains.
-WIDTH, FRACTION = 24, 1 / 64
+WIDTH, FRACTION = 24, 1 / 8
+#: A text with fewer distinct hashes below the fraction keeps all its hashes.
+LEAST = 32
 # Odd multipliers of a 64-bit mix.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
@@ -39,33 +41,73 @@ def shingle_hashes(data: bytes) -> np.ndarray:
     return h
 
 
-def sketch(text: str, fraction=FRACTION) -> np.ndarray:
-    """All distinct shingle hashes below the fraction, ascending; a text with none keeps its least hash, so
-    that only the empty text has an empty sketch. Blocks bound the memory of very long texts."""
-    data, kept, least = text.encode("utf-8", "surrogatepass"), [], None
-    top = np.uint64(int(fraction * 2**64))
-    step = 1 << 20
+def _blocks(text: str, step=1 << 20):
+    """The shingle hashes in blocks, which bound the memory of very long texts."""
+    data = text.encode("utf-8", "surrogatepass")
     for at in range(0, max(1, len(data) - WIDTH + 1), step):
-        h = shingle_hashes(data[at:at + step + WIDTH - 1])
-        if len(h):
-            kept.append(h[h < top])
-            least = h.min() if least is None else min(least, h.min())
-    out = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-    return out if len(out) or least is None else np.array([least], np.uint64)
+        yield shingle_hashes(data[at:at + step + WIDTH - 1])
+
+
+def _top(fraction) -> np.uint64:
+    return np.uint64(min(int(fraction * 2**64), 2**64 - 1))
+
+
+def sketch(text: str, fraction=FRACTION) -> np.ndarray:
+    """All distinct shingle hashes below the fraction, ascending; where these are fewer than ``LEAST``, all distinct
+    hashes. So a sketch with fewer below the fraction is whole, and only the empty text has an empty one."""
+    top = _top(fraction)
+    out = np.unique(np.concatenate([h[h < top] for h in _blocks(text)]))
+    if len(out) < LEAST:
+        out = np.zeros(0, np.uint64)
+        for h in _blocks(text):
+            out = np.union1d(out, h)
+    return out
+
 
+def whole(s: np.ndarray, fraction=FRACTION) -> bool:
+    """Whether the sketch holds every hash of its text."""
+    return int(np.searchsorted(s, _top(fraction))) < LEAST
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of two texts taken together."""
-    return np.union1d(a, b)
 
+def merge(a: np.ndarray, b: np.ndarray, fraction=FRACTION) -> np.ndarray:
+    """The sketch of two texts taken together: what is above the fraction stays only while the sketch is whole."""
+    out = np.union1d(a, b)
+    return out if whole(out, fraction) else out[out < _top(fraction)]
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller text's shingles that the larger has; two empty texts contain each other."""
+
+def containment(a: np.ndarray, b: np.ndarray, fraction=FRACTION) -> float:
+    """Estimated share of the smaller text's shingles that the larger has; two empty texts contain each other.
+
+    Two whole sketches are compared in full, others by the hashes below the fraction. Where a whole sketch
+    has none there, the sketches don't tell (NaN); ``compared`` asks the text then.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    if not (whole(a, fraction) and whole(b, fraction)):
+        a, b = a[a < _top(fraction)], b[b < _top(fraction)]
+        if not len(a) or not len(b):
+            return float("nan")
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
+def _within(own: np.ndarray, text: str) -> float:
+    """Exact containment of all hashes of a text with those of another ``text``."""
+    found, seen = np.zeros(len(own), bool), np.zeros(0, np.uint64)
+    for h in _blocks(text):
+        i = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        found[i[own[i] == h]] = True
+        if len(seen) < len(own):
+            seen = np.union1d(seen, h)
+    return int(found.sum()) / min(len(own), len(seen))
+
+
+def compared(a: np.ndarray, text_a: str, b: np.ndarray, text_b: str, fraction=FRACTION) -> float:
+    """``containment`` of two texts' sketches, where a whole sketch is compared with all hashes of the other text."""
+    if len(a) and len(b) and whole(a, fraction) != whole(b, fraction):
+        return _within(a, text_b) if whole(a, fraction) else _within(b, text_a)
+    return containment(a, b, fraction)
+
+
 def as_text(s: np.ndarray) -> str:
     """16 hex digits a hash, ascending."""
     return s.astype(">u8").tobytes().hex()
@@ -158,6 +200,7 @@ def edit_table(docs: DataFrame, key="doc_id", text="text", fraction=FRACTION) ->
         e = edited(t, following)
         new, nxt = sketch(e, fraction), sketch(following, fraction)
         kept[:] = [following, nxt]
-        return (len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(new), containment(own, new), containment(own, nxt))
+        return (len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(new),
+                compared(own, t, new, e, fraction), compared(own, t, nxt, following, fraction))
 
     return with_next(docs, fn, "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", key, text)

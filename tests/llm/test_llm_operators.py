@@ -474,6 +474,33 @@ def test_sketches_merge_and_follow(docs, empty):
     assert len({r["fingerprint"] for r in got if r["doc_id"] in (1, 2)}) == 1
 
 
+def test_sketches_of_short_texts(spark):
+    rng = np.random.default_rng(4)
+    def text(n):
+        return "".join(rng.choice(list("abcdefghij klmnop"), n))
+    def exact(a, b):
+        a, b = ({x.encode()[i:i + 24] for i in range(max(1, len(x) - 23))} for x in (a, b))
+        return len(a & b) / min(len(a), len(b))
+    long = text(20_000)
+    halves, inside, of_sketches = [], [], []
+    for n in (24, 43, 60, 87, 123, 200, 400):
+        for i in range(40):
+            t, at = text(n), int(rng.integers(0, 19_000))
+            e, part = sketches.edited(t, text(n)), long[at:at + n]
+            a, b, c, d = (sketches.sketch(x) for x in (t, e, part, long))
+            halves.append((sketches.compared(a, t, b, e), exact(t, e), n))
+            inside.append(sketches.compared(c, part, d, long))
+            of_sketches.append(sketches.containment(c, d))
+            assert sketches.compared(c, part, d, long) == sketches.compared(d, long, c, part)
+            assert (sketches.merge(c, d) == d).all()
+            assert (sketches.merge(a, c) == sketches.merge(c, a)).all() and set(sketches.merge(d, a)) >= set(d) and not sketches.whole(sketches.merge(d, a))
+    assert inside == [1.0] * len(inside) and {x for x in of_sketches if x == x} == {1.0}
+    assert all(abs(x - y) < (1e-9 if n < 200 else 0.35) for x, y, n in halves) and np.mean([abs(x - y) for x, y, _ in halves]) < 0.03
+    rows = [(2 * i, long[100 * i:100 * i + 50]) for i in range(30)] + [(2 * i + 1, long) for i in range(30)]
+    got = rows_of(sketches.edit_table(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(got) == 60 and {r["near_next"] for r in got if r["doc_id"] < 59} == {1.0}
+
+
 PAGES = [
     (1, "http://a/1", "<p>" + "x" * 2000), (2, "http://a/2", "<p>" + "x" * 2000), (3, None, "<p>" + "x" * 2000), (4, "http://a\r\nX: 1", "small"),
     (5, "http://a/5", "small"), (6, "http://a/6", None), (7, "http://a/7", ""), (None, "http://a/8", "<p>" + "x" * 2000), (9, "http://a/9", "é" * 600),
