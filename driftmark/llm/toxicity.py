@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from ..session import written
+from ..session import new_folder, written
 from . import common as C
 
-#: Hashed slots of the counts (two numbers each: the only model data that reaches the driver).
-SLOTS = 1 << 20
 #: Characters of the word starts that give a word's prior, from the loosest to the word itself (0).
 LEVELS = (3, 4, 5, 6, 7, 8, 0)
 #: Documents' worth of prior that each level takes from the one before.
@@ -23,85 +21,140 @@ PRIOR = 8.0
 E_VALUE = 0.3
 #: Labels (an id and a number each) that are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows and bytes of text that share a dictionary; bounds the tasks that join them with the counts.
+CHUNK_ROWS, CHUNK_BYTES = 16_384, 12 << 20
 _BINS = np.concatenate((np.arange(0, 4, 0.25), np.arange(4, 20, 0.5), np.arange(20, 100, 5), [1e300]))
 
 
-class Vocabulary:
-    """Slots of words' levels, kept between slices up to a bound."""
-
-    def __init__(self, most=1 << 18):
-        self.most, self.place, self.rows = most, {}, np.zeros((0, len(LEVELS)), np.int32)
-
-    def slots(self, words: list[str]) -> np.ndarray:
-        if len(self.place) + len(words) > self.most:
-            self.place, self.rows = {}, self.rows[:0]
-        new = [w for w in words if w not in self.place]
-        if new:
-            for j, w in enumerate(new, len(self.rows)):
-                self.place[w] = j
-            crc = zlib.crc32
-            own = [[crc((w[:n] if n else w).encode("utf-8", "surrogatepass"), 131 * i + 7) % SLOTS for i, n in enumerate(LEVELS)] for w in new]
-            self.rows = np.concatenate((self.rows, np.array(own, np.int32)))
-        return self.rows[[self.place[w] for w in words]]
-
-
 def _stripped(words: pa.Array) -> pa.Array:
     """Words without the punctuation at either end (a word of punctuation stays)."""
     bare = pc.utf8_trim(words, "\"'`.,;:!?()[]{}<>*_-")
     return pc.if_else(pc.equal(pc.binary_length(bare), 0), words, bare)
 
 
-def _labels_of(b):
-    return b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def count_slots(batches):
-    """(slot, n, toxic) of (label, text) batches: documents, and toxic ones, that hold a word of the slot."""
-    vocabulary = Vocabulary()
-    n, toxic = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-    for whole in batches:
-        for b in C.slices(whole, 1):
-            words, at = C.words_of(pc.utf8_lower(b.column(1).cast(pa.string())), lower=False)
-            y = _labels_of(b)
-            if not len(words):
-                continue
-            code, distinct = C.coded(_stripped(words))
-            slots = vocabulary.slots(distinct.to_pylist())
-            pair = np.unique(at * np.int64(len(distinct)) + code)
-            doc, word = pair // len(distinct), pair % len(distinct)
-            for level in range(len(LEVELS)):
-                own = np.unique(doc * np.int64(SLOTS) + slots[word, level])
-                np.add.at(n, own % SLOTS, 1)
-                np.add.at(toxic, own % SLOTS, y[own // SLOTS])
-    at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_pydict({"slot": pa.array(at.astype(np.int32)), "n": pa.array(n[at]), "toxic": pa.array(toxic[at])})
+def packed(codes: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """Codes of ``n`` texts as bytes: seven bits a byte, the last byte of each code below 128."""
+    width = 1 + sum((codes >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    end = np.concatenate(([0], np.cumsum(width)))
+    out = np.zeros(end[-1], np.uint8)
+    for k in range(5):
+        has = width > k
+        out[end[1:][has] - 1 - k] = (codes[has] >> 7 * k) & 127 | (128 if k else 0)
+    ends = end[np.searchsorted(at, np.arange(n + 1))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(out)])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all texts, and each text's number of them."""
+    parts = column.to_pylist()
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    last = data < 128
+    before = np.concatenate(([0], np.cumsum(last)))
+    size = np.diff(before[np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))])
+    if not len(data):
+        return np.zeros(0, np.int64), size
+    end = np.flatnonzero(last)
+    start = np.concatenate(([0], end[:-1] + 1))
+    k = np.repeat(end, end - start + 1) - np.arange(len(data))
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * k, start), size
+
+
+def encoded(docs: DataFrame, key="doc_id", text="text") -> tuple[DataFrame, DataFrame]:
+    """Texts as codes of their chunk's words (frequent ones have short codes), and the words (chunk, token, code)."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    out = StructType([StructField("id", docs.schema[key].dataType), *_parse_datatype_string("kind int, chunk bigint, codes binary, token string, code int").fields])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(out)
+
+    def batch(rows_, **own):
+        cols = [own[f.name].cast(f.type) if f.name in own else pa.nulls(rows_, f.type) for f in arrow]
+        return pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+    def run(batches):
+        part, count = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for b in C.slices(whole, 1, CHUNK_ROWS, CHUNK_BYTES):
+                chunk = (part << 24) + count
+                count += 1
+                words, at = C.words_of(pc.utf8_lower(b.column(1).cast(pa.string())), lower=False)
+                code, distinct = C.coded(_stripped(words))
+                order = np.argsort(-np.bincount(code, minlength=len(distinct)), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                yield batch(b.num_rows, id=b.column(0), kind=pa.array(np.zeros(b.num_rows, np.int32)),
+                            chunk=pa.array(np.full(b.num_rows, chunk)), codes=packed(rank[code], at, b.num_rows))
+                if len(distinct):
+                    yield batch(len(distinct), kind=pa.array(np.ones(len(distinct), np.int32)), chunk=pa.array(np.full(len(distinct), chunk)),
+                                token=distinct.take(pa.array(order)), code=pa.array(np.arange(len(distinct), dtype=np.int32)))
+
+    folder = new_folder(spark, "encoded")
+    rows.mapInArrow(run, out).write.partitionBy("kind").parquet(folder)
+    read = lambda: spark.read.schema(out).parquet(folder)
+    return read().where("kind = 0").select("chunk", "id", "codes"), read().where("kind = 1").select("chunk", "token", "code")
+
+
+def counted(train: DataFrame, words: DataFrame) -> DataFrame:
+    """(whole, string, n, toxic): training texts, and toxic ones, that hold the word (whole), or a word that starts
+    with the string. A start has as many letters as its level; a shorter word counts at that level as itself."""
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        code, size = unpacked(left.column("codes").combine_chunks())
+        token = right.column("token").cast(pa.string()).combine_chunks().take(pa.array(np.argsort(right.column("code").to_numpy())))
+        y = left.column("label").to_numpy().astype(np.int64)
+        pair = np.unique(np.repeat(np.arange(len(size)), size) * np.int64(max(1, len(token))) + code)
+        doc, word = pair // max(1, len(token)), pair % max(1, len(token))
+        length = pc.utf8_length(token).to_numpy(zero_copy_only=False)
+        got = []
+        for level in LEVELS:
+            start, distinct = C.coded(pc.utf8_slice_codeunits(token, 0, level) if level else token)
+            full = length[word] >= level
+            own = np.unique(doc[full] * np.int64(max(1, len(distinct))) + start[word[full]])
+            of, at = own // max(1, len(distinct)), own % max(1, len(distinct))
+            n, toxic = np.bincount(at, minlength=len(distinct)), np.bincount(at, y[of], len(distinct))
+            held = np.flatnonzero(n)
+            got.append(pa.table({"whole": pa.array(np.full(len(held), level == 0)), "string": distinct.take(pa.array(held)),
+                                 "n": pa.array(n[held]), "toxic": pa.array(toxic[held].astype(np.int64))}))
+        return pa.concat_tables(got)
+
+    parts = train.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(count, "whole boolean, string string, n bigint, toxic bigint")
+    return written(parts.groupBy("whole", "string").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "counts")
 
 
 class Model:
-    """Slot counts, and after ``calibrate`` the decay and rate of clean segment scores and the score's levels."""
+    """Base rate, and after the fit the decay and rate of clean segment scores and the score's levels."""
 
-    def __init__(self, counts, docs, toxic_docs):
-        self.counts = counts  # (documents, toxic documents) per slot, or a broadcast of them
+    def __init__(self, docs, toxic_docs):
         self.base = (toxic_docs + 0.5) / (docs + 1.0)
         self.decay, self.rate = 1.0, 1.0
         self.levels = None
 
-    def log_odds(self, slots: np.ndarray, own=None) -> np.ndarray:
-        """Log-odds of the words' slots over the base: each level is a binomial under a Dirichlet prior whose
-        mean is the level before. A level counts what the next one does not, so no document counts twice.
-        ``own`` (a 0/1 label per row) takes the row's own document out of the counts."""
-        p = np.full(len(slots), self.base)
-        n, t = getattr(self.counts, "value", self.counts)
-        ns, ts = n[slots].astype(np.float64), t[slots].astype(np.float64)
+    def priors(self, words: DataFrame, counts: DataFrame) -> DataFrame:
+        """(chunk, code, prior, n, toxic) of the words that a count bears on: what the word's starts say of the share
+        of toxic texts, and the word's own texts.
+
+        Each level is a binomial under a Dirichlet prior whose mean is the level before, and counts what the next
+        one does not, so no document counts twice.
+        """
+        starts = [F.struct(F.lit(n).alias("level"), (F.lit(n == 0)).alias("whole"), (F.substring("token", 1, n) if n else F.col("token")).alias("string")) for n in LEVELS]
+        parts = words.select("token").distinct().select("token", F.explode(F.filter(F.array(*starts), lambda x: F.length(x["string"]) >= x["level"])).alias("x")).select("token", "x.*")
+        of = lambda c, n: F.coalesce(F.max(F.when(F.col("level") == n, F.col(c))), F.lit(0))
+        found = parts.join(counts, ["whole", "string"]).groupBy("token").agg(*[of(c, n).alias(f"_{c}{n}") for c in ("n", "toxic") for n in LEVELS])
+        # a level of more letters than the word has holds the word alone
+        at = lambda c, n: F.when(F.length("token") < n, F.col(f"_{c}0")).otherwise(F.col(f"_{c}{n}"))
+        p = F.lit(float(self.base))
+        for level, after in zip(LEVELS, LEVELS[1:]):
+            n, t = (F.greatest(at(c, level) - at(c, after), F.lit(0)) for c in ("n", "toxic"))
+            p = (F.least(t, n) + F.lit(PRIOR) * p) / (n + F.lit(PRIOR))
+        found = found.select("token", p.alias("prior"), F.col("_n0").alias("n"), F.col("_toxic0").alias("toxic"))
+        return written(words.join(found, "token").select("chunk", "code", "prior", "n", "toxic"), "priors")
+
+    def log_odds(self, prior: np.ndarray, n: np.ndarray, toxic: np.ndarray, own=None) -> np.ndarray:
+        """Log-odds of words over the base. ``own`` (a 0/1 label per row) takes the row's own document out of the
+        counts; it counts in every level of the word, so only the word's own level changes."""
         if own is not None:
-            ns, ts = np.maximum(ns - 1, 0), np.maximum(ts - own[:, None], 0)
-        for level in range(slots.shape[1]):
-            n, t = ns[:, level], ts[:, level]
-            if level + 1 < slots.shape[1]:
-                n, t = np.maximum(n - ns[:, level + 1], 0), np.maximum(t - ts[:, level + 1], 0)
-            t = np.minimum(t, n)
-            p = (t + PRIOR * p) / (n + PRIOR)
-        p = p.clip(1e-6, 1 - 1e-6)
+            n, toxic = np.maximum(n - 1, 0), np.maximum(toxic - own, 0)
+        p = ((np.minimum(toxic, n) + PRIOR * prior) / (n + PRIOR)).clip(1e-6, 1 - 1e-6)
         return np.log(p / (1 - p)) - np.log(self.base / (1 - self.base))
 
 
@@ -132,26 +185,23 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(s), int(e), float(r - l)) for s, e, l, r in stack]
 
 
-def _scored(model: Model, vocabulary: Vocabulary, texts, own=None):
-    """For each text: its number of words, and its maximal segments under the log-odds less a drift."""
-    words, at = C.words_of(pc.utf8_lower(texts.cast(pa.string())), lower=False)
-    out: list = [(0, [])] * len(texts)
-    if not len(words):
-        return out
-    code, distinct = C.coded(_stripped(words))
-    slots = vocabulary.slots(distinct.to_pylist())
-    if own is None:
-        s = model.log_odds(slots)[code]
-    else:  # each document is scored by counts without its own
-        pair, back = np.unique(at * np.int64(len(distinct)) + code, return_inverse=True)
-        s = model.log_odds(slots[pair % len(distinct)], own[pair // len(distinct)])[back]
-    s = s - DRIFT
-    ends = np.searchsorted(at, np.arange(len(texts)), side="right")
-    a = 0
-    for i, b in enumerate(ends.tolist()):
-        if b > a:
-            out[i] = (b - a, maximal_segments(s[a:b]))
-        a = b
+def _scored(model: Model, codes: pa.Array, right: pa.Table, own=None):
+    """For each text of a chunk: its number of words, and its maximal segments under the log-odds less a drift."""
+    code, size = unpacked(codes)
+    most = int(code.max()) + 1 if len(code) else 0
+    prior, n, toxic = np.full(most, model.base), np.zeros(most), np.zeros(most)
+    place = right.column("code").to_numpy()
+    known = place < most
+    for x, c in ((prior, "prior"), (n, "n"), (toxic, "toxic")):
+        x[place[known]] = right.column(c).to_numpy()[known]
+    whole = model.log_odds(prior, n, toxic)
+    out, a = [], 0
+    for i, k in enumerate(size.tolist()):
+        c = code[a:a + k]
+        # in training each document is scored by counts without its own
+        s = whole[c] if own is None else model.log_odds(prior[c], n[c], toxic[c], own[i])
+        out.append((k, maximal_segments(s - DRIFT)))
+        a += k
     return out
 
 
@@ -171,29 +221,26 @@ def _evidence(model: Model, n: int, segments) -> tuple[float, float, list]:
     return total, best, kept
 
 
-def best_scores(model: Model, batches):
-    """(i, n, words): histogram of the clean texts' best segment scores, and these texts' words."""
-    vocabulary, hist = Vocabulary(), np.zeros((2, len(EDGES) - 1))
-    for whole in batches:
-        for b in C.slices(whole, 1):
-            y = _labels_of(b)
-            for (k, segments), t in zip(_scored(model, vocabulary, b.column(1), y), y):
-                if not t and k:
-                    i = int(np.searchsorted(EDGES, max((x for _, _, x in segments), default=0.0), side="right")) - 1
-                    hist[0, i] += 1
-                    hist[1, i] += k
+def best_scores(batches):
+    """(i, n, words): histogram of the clean texts' best segment scores, and these texts' words, from (label,
+    n_words, scores) batches."""
+    hist = np.zeros((2, len(EDGES) - 1))
+    for b in batches:
+        for t, k, xs in zip(*(c.to_pylist() for c in b.columns)):
+            if not t and k:
+                i = int(np.searchsorted(EDGES, max(xs, default=0.0), side="right")) - 1
+                hist[0, i] += 1
+                hist[1, i] += k
     at = np.flatnonzero(hist[0])
     yield pa.RecordBatch.from_pydict({"i": pa.array(at.astype(np.int32)), "n": pa.array(hist[0, at]), "words": pa.array(hist[1, at])})
 
 
 def evidence_levels(model: Model, batches):
-    """(i, clean, toxic): histogram of the texts' evidence by label."""
-    vocabulary, hist = Vocabulary(), np.zeros((2, len(_BINS)))
-    for whole in batches:
-        for b in C.slices(whole, 1):
-            y = _labels_of(b)
-            for (k, segments), t in zip(_scored(model, vocabulary, b.column(1), y), y):
-                hist[int(t == 1), int(np.searchsorted(_BINS, _evidence(model, k, segments)[0], side="right")) - 1] += 1
+    """(i, clean, toxic): histogram of the texts' evidence by label, from (label, n_words, scores) batches."""
+    hist = np.zeros((2, len(_BINS)))
+    for b in batches:
+        for t, k, xs in zip(*(c.to_pylist() for c in b.columns)):
+            hist[int(t == 1), int(np.searchsorted(_BINS, _evidence(model, k, [(0, 0, x) for x in xs])[0], side="right")) - 1] += 1
     yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(_BINS), dtype=np.int32)), "clean": pa.array(hist[0]), "toxic": pa.array(hist[1])})
 
 
@@ -208,31 +255,34 @@ def tail(model: Model, clean) -> None:
         model.rate = float(w.sum() / max((clean["words"].to_numpy() * np.exp(-model.decay * x)).sum(), 1e-9))
 
 
-def fit(labelled: DataFrame, label="toxic", text="text") -> Model | None:
-    """Counts, extreme-value parameters and score levels from the labelled rows.
+def fit(train: DataFrame, words: DataFrame) -> tuple[Model, DataFrame] | None:
+    """Model and word priors from the training texts (chunk, label, codes).
 
     Segment scores of clean texts have an exponential tail: its decay is one over the mean excess of each clean
     text's best segment over their upper quartile, and for that decay n * exp(-decay * best) has an exponential
     distribution whose mean gives the rate (the expected number of segments a word above score zero). Texts are
     scored here by counts without themselves. The sum of the significant segments' -log E is then mapped to
-    the share of toxic texts by pooled, monotone bins. To the driver go 2^20 slot counts at most, and
-    histograms of fixed size: all independent of the number of rows.
+    the share of toxic texts by pooled, monotone bins. Only histograms of fixed size go to the driver.
     """
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("_y"), F.col(text).cast("string").alias("_t"))
-    by = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
+    by = {r[0]: r[1] for r in train.groupBy("label").count().collect()}
     if not by:
         return None
+    model = Model(sum(by.values()), by.get(1, 0))
+    priors = model.priors(words, counted(train, words))
+    ddl = "label int, n_words bigint, scores array<double>"
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        y = left.column("label")
+        got = _scored(model, left.column("codes").combine_chunks(), right, y.to_numpy())
+        return pa.table({"label": y.cast(pa.int32()), "n_words": pa.array([k for k, _ in got], pa.int64()),
+                         "scores": pa.array([[x for _, _, x in xs] for _, xs in got], pa.list_(pa.float64()))})
+
+    rows = written(train.groupBy("chunk").cogroup(priors.groupBy("chunk")).applyInArrow(score, ddl), "scores")
     summed = lambda fn, ddl, key, sums: rows.mapInArrow(fn, ddl).groupBy(key).agg(*[F.sum(c).alias(c) for c in sums])
-    got = summed(count_slots, "slot int, n bigint, toxic bigint", "slot", ("n", "toxic")).select("slot", F.col("n").cast("int"), F.col("toxic").cast("int")).toArrow()
-    n, toxic = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-    at = got.column("slot").to_numpy()
-    n[at], toxic[at] = got.column("n").to_numpy(), got.column("toxic").to_numpy()
-    del got, at
-    model = Model(rows.sparkSession.sparkContext.broadcast((n, toxic)), sum(by.values()), by.get(1, 0))  # of fixed size
-    tail(model, summed(lambda it: best_scores(model, it), "i int, n double, words double", "i", ("n", "words")).toPandas().sort_values("i"))
+    tail(model, summed(best_scores, "i int, n double, words double", "i", ("n", "words")).toPandas().sort_values("i"))
     hist = summed(lambda it: evidence_levels(model, it), "i int, clean double, toxic double", "i", ("clean", "toxic")).toPandas().sort_values("i")
     model.levels = pooled(hist["clean"].to_numpy(), hist["toxic"].to_numpy(), model.base)
-    return model
+    return model, priors
 
 
 #: Bins of a clean text's best segment score.
@@ -250,33 +300,37 @@ def pooled(clean: np.ndarray, toxic: np.ndarray, base: float) -> np.ndarray:
     return np.concatenate([np.full(int(k), t / n if n else base) for t, n, k in blocks])
 
 
-def toxic_spans(docs: DataFrame, model: Model | None, key=("doc_id",), text="text") -> DataFrame:
+SPANS = "n_words bigint, score double, evidence double, segments array<struct<first:bigint,last:bigint,score:double,e_value:double>>"
+
+
+def toxic_spans(texts: DataFrame, model: Model, priors: DataFrame, key="doc_id") -> DataFrame:
     """``n_words``, ``score`` (0 to 1), ``evidence`` and the significant ``segments`` (word span, score,
-    E-value) of every row.
+    E-value) of every encoded text.
 
-    Null and empty texts have no segment and the score of a text without evidence; without any labelled row
-    all scores are 0. Nothing is shuffled; texts of any length are scanned whole, in linear time.
+    Null and empty texts have no segment and the score of a text without evidence. The words' priors come to the
+    texts by chunk, one bounded chunk at a time; texts of any length are scanned whole, in linear time.
     """
-    def make():
-        vocabulary = Vocabulary()
-        top = np.concatenate((_BINS[1:-1], [_BINS[-2] + 5]))
-
-        def fn(texts):
-            if model is None:
-                return ([0] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [[]] * len(texts))
-            got = _scored(model, vocabulary, texts)
-            found = [_evidence(model, k, segments) for k, segments in got]
-            x = np.array([f[0] for f in found])
-            i = np.searchsorted(_BINS, x, side="right") - 1
-            # inside a bin the score rises towards the next, so that more evidence is never a lower or equal rank
-            up = model.levels[np.minimum(i + 1, len(_BINS) - 1)]
-            part = ((x - _BINS[i]) / (top[np.minimum(i, len(top) - 1)] - _BINS[i])).clip(0, 1)
-            score = model.levels[i] + (up - model.levels[i]) * 0.5 * part
-            names = ("first", "last", "score", "e_value")
-            return ([k for k, _ in got], score.clip(0, 1), x, [[dict(zip(names, s)) for s in f[2]] for f in found])
-        return fn
-
-    return C.map_texts(docs, make, "n_words bigint, score double, evidence double, segments array<struct<first:bigint,last:bigint,score:double,e_value:double>>", key, text)
+    schema = StructType([StructField(key, texts.schema["id"].dataType), *_parse_datatype_string(SPANS).fields])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    top = np.concatenate((_BINS[1:-1], [_BINS[-2] + 5]))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = _scored(model, left.column("codes").combine_chunks(), right)
+        found = [_evidence(model, k, segments) for k, segments in got]
+        x = np.array([f[0] for f in found], float)
+        i = np.searchsorted(_BINS, x, side="right") - 1
+        # inside a bin the score rises towards the next, so that more evidence is never a lower or equal rank
+        up = model.levels[np.minimum(i + 1, len(_BINS) - 1)]
+        part = ((x - _BINS[i]) / (top[np.minimum(i, len(top) - 1)] - _BINS[i])).clip(0, 1)
+        value = model.levels[i] + (up - model.levels[i]) * 0.5 * part
+        names = ("first", "last", "score", "e_value")
+        cols = ([k for k, _ in got], value.clip(0, 1), x, [[dict(zip(names, s)) for s in f[2]] for f in found])
+        return pa.Table.from_arrays([left.column("id").combine_chunks().cast(arrow.field(0).type),
+                                     *[pa.array(c, arrow.field(j).type) for j, c in enumerate(cols, 1)]], schema=arrow)
+
+    return texts.groupBy("chunk").cogroup(priors.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def held_out(key="doc_id"):
@@ -289,9 +343,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, key="doc_id", label="toxic", te
     Null ids match no label and are not held out; a document that is labelled twice learns once per label;
     only id and text are read.
     """
-    marks = labels.select(F.col(key).alias("_id"), F.col(label).alias("_label")).where(~held_out("_id") & F.col("_label").isNotNull())
+    marks = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("label")).where(~held_out("_id") & F.col("label").isNotNull())
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    train = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(marks, F.col("_key") == F.col("_id")).select("_label", "_text")
-    model = fit(written(train, "labelled"), "_label", "_text")
-    return toxic_spans(docs, model, (key,), text).withColumn("held_out", held_out(key)).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int"))
+    texts, words = encoded(docs, key, text)
+    fitted = fit(texts.join(marks, F.col("id") == F.col("_id")).select("chunk", "label", "codes"), words)
+    if fitted is None:  # no labelled row: all scores are 0
+        nothing = [F.lit(0).cast(f.dataType) if f.name != "segments" else F.array().cast(f.dataType) for f in _parse_datatype_string(SPANS)]
+        spans = texts.select(F.col("id").alias(key), *[c.alias(f.name) for c, f in zip(nothing, _parse_datatype_string(SPANS))])
+    else:
+        spans = toxic_spans(texts, *fitted, key)
+    return spans.withColumn("held_out", held_out(key)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

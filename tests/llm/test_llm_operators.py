@@ -439,6 +439,37 @@ def test_toxic_texts_are_found(spark):
     assert {r["score"] for r in rows_of(toxicity.toxicity(docs, marks.where("false")))} == {0.0}
 
 
+def test_word_counts_are_exact(spark):
+    rng = np.random.default_rng(7)
+    syllables = ["ba", "kö", "ri", "to", "nu", "sel", "mar", "x"]
+    texts = [" ".join("".join(rng.choice(syllables, rng.integers(1, 7))) for _ in range(400)) for _ in range(300)]
+    rows = [(i, t, i % 3 // 2) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "id long, text string, label int").repartition(5)
+    coded, terms = toxicity.encoded(docs, "id")
+    train = coded.join(docs.select("id", "label"), "id").select("chunk", "label", "codes")
+    counts = toxicity.counted(train, terms)
+    want = {}
+    for _, t, y in rows:
+        held = set(t.split())
+        for key in {(True, w) for w in held} | {(False, w[:n]) for w in held for n in range(3, 9) if len(w) >= n}:
+            n, toxic = want.get(key, (0, 0))
+            want[key] = (n + 1, toxic + y)
+    assert {(r["whole"], r["string"]): (r["n"], r["toxic"]) for r in rows_of(counts)} == want and len(want) > 40_000
+    model = toxicity.Model(300, 100)
+    tokens = {(r["chunk"], r["code"]): r["token"] for r in rows_of(terms)}
+    got = {tokens[r["chunk"], r["code"]]: (r["prior"], r["n"], r["toxic"]) for r in rows_of(model.priors(terms, counts))}
+    assert set(got) == set(tokens.values())
+    for w in sorted(got)[::50]:
+        of = [want[(n == 0 or len(w) < n, w if n == 0 else w[:n])] for n in toxicity.LEVELS]
+        p = model.base
+        for (n, t), (m, u) in zip(of, of[1:]):
+            p = (min(t - u, n - m) + 8 * p) / (n - m + 8)
+        assert got[w][0] == pytest.approx(p) and got[w][1:] == of[-1]
+    codes = np.array([0, 127, 128, 16383, 16384, 2**21, 2**31 - 1])
+    back, size = toxicity.unpacked(toxicity.packed(codes, np.array([1, 1, 1, 3, 3, 4, 4]), 6))
+    assert (back == codes).all() and size.tolist() == [0, 3, 0, 2, 2, 0]
+
+
 def test_sketches_merge_and_follow(docs, empty):
     a, b = sketches.sketch(LONG), sketches.sketch("b" + LONG[:3000])
     both = sketches.merge(a, b)
