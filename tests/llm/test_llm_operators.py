@@ -295,6 +295,22 @@ def test_entropy_windows_equal_direct_counts():
         assert covered == {j for a, b in secrets.windows(s, 3.3) for j in range(a, b)}
 
 
+def test_random_keys_of_each_alphabet_are_found():
+    rng = np.random.default_rng(6)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (lower + digits, upper + digits, upper + "234567", lower, upper, lower + upper, lower + upper + digits, lower + upper + digits + "+/", "0123456789abcdef"):
+        for n in (20, 24, 32, 40):
+            keys = ["".join(rng.choice(list(alphabet), n)) for _ in range(300)]
+            share = np.mean([bool(secrets.find("the key " + k + " is here")) for k in keys])
+            assert share > 0.93, (alphabet, n, share)
+    key = "".join(rng.choice(list(lower + digits), 32))
+    for run in (f"example-{key}", f"{key}/xxxx/0123456789"):
+        assert any(run.index(key) <= a + 20 and b <= len(run) and b > a for _, a, b in secrets.find(run))
+    for plain in ("someVeryLongCamelCaseIdentifierName", "a-heading-that-became-part-of-an-address", "internationalization_of_organizations", "0123456789abcdef0123456789abcdefghijkl"[16:],
+                  "abcdefghijklmnopqrstuvwxyz", "xxxxxxxxxxxxxxxxxxxxxxxxxxxx", "Donaudampfschifffahrtsgesellschaft", "2024-01-02_03-04-05_06-07"):
+        assert not [x for x in secrets.find(plain) if x[0].startswith("entropy")], plain
+
+
 def test_redacted_texts_hold_no_secret(spark, docs):
     extra = spark.createDataFrame([(i, t) for i, t, _, _ in SECRETS], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in rows_of(secrets.redacted(extra))}
