@@ -11,7 +11,7 @@ from . import common as C
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.08
-#: Items shorter than this many characters must stand exactly, between spaces.
+#: Places of items shorter than this many characters must begin and end at the edge of a word.
 SHORT = 40
 #: Characters of items that one pass over the documents searches for.
 BLOCK_CHARS = 4 << 20
@@ -22,7 +22,13 @@ def normal(text: str | None) -> str:
 
 
 def budget(item: str, rate=ERROR_RATE) -> int:
-    return 0 if len(item) < SHORT else int(len(item) * rate)
+    return int(len(item) * rate)
+
+
+def edge(line: str, i: int) -> bool:
+    """Whether no word goes on over place ``i``."""
+    inner = lambda c: c.isalnum() or c == "_"
+    return not (0 < i < len(line) and inner(line[i - 1]) and inner(line[i]))
 
 
 def piece_cuts(n: int, errors: int) -> list[tuple[int, int]]:
@@ -94,8 +100,7 @@ class Matcher:
             windows: list[list[int]] = []
             for p in sorted(places):
                 if line.startswith(item, max(p, 0)) and p >= 0:
-                    inside = (p == 0 or line[p - 1] == " ") and (p + n == len(line) or line[p + n] == " ")
-                    if n >= SHORT or inside:
+                    if n >= SHORT or edge(line, p) and edge(line, p + n):
                         found.append((i, p, p + n, 0))
                         continue
                 if k:
@@ -113,6 +118,9 @@ class Matcher:
 
     def _verify(self, i, line, a, b):
         n, k = len(self.items[i]), self.errors[i]
+        if n < SHORT:
+            yield from self._verify_words(i, line, a, b)
+            return
         best = None  # of the current run of ends within budget
         for e, d in enumerate(distances(self.masks[i], n, line[a:b]), a + 1):
             if best and e - best[0] > n // 2:
@@ -123,6 +131,20 @@ class Matcher:
         if best:
             yield self._place(i, line, a, *best)
 
+    def _verify_words(self, i, line, a, b):
+        """Places of a short item from word edge to word edge, the nearest first, that don't overlap."""
+        n, k = len(self.items[i]), self.errors[i]
+        places = []
+        for e, d in enumerate(distances(self.masks[i], n, line[a:b]), a + 1):
+            if d <= k and edge(line, e):
+                back = line[max(0, e - n - k):e][::-1]
+                places += [(x, e - length, e) for length, x in enumerate(distances(self.back[i], n, back, anywhere=False), 1) if x <= k and edge(line, e - length)]
+        taken: list[tuple[int, int]] = []
+        for d, s, e in sorted(places, key=lambda x: (x[0], x[1], -x[2])):
+            if not any(s < y and x < e for x, y in taken):
+                taken.append((s, e))
+                yield s, e, d
+
     def _place(self, i, line, a, e, d):
         """The start, by the same recurrence run backwards from the end."""
         n = len(self.items[i])
@@ -160,7 +182,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate=ERROR_RATE, key="doc_id", item
     Texts are lower-cased with one space between words. An item of n characters may differ by rate * n edits
     (insert, delete, replace); one of its budget + 1 pieces then stands unchanged, all pieces of all items are
     found in one automaton pass, and Myers' distance over the window around a hit decides. Items of fewer than
-    ``SHORT`` characters must stand exactly between spaces. Items are a stated query set: they are read in
+    ``SHORT`` characters must begin and end at the edge of a word. Items are a stated query set: they are read in
     blocks of about ``block_chars`` characters, one pass over the documents each, and only a block is ever
     on the driver. Items with one normalised text are searched once and reported each. Null and empty texts
     and items have no match; null ids are reported as null; repeated documents are each reported.

@@ -381,6 +381,23 @@ def test_matcher_misses_nothing_within_budget():
             assert m.find(line), "".join(s)
 
 
+def test_short_items_stand_at_word_edges():
+    item = "what is the capital city of australia"
+    m = decontam.Matcher([item, "red fox"])
+    for line, edits in ((f"({item}).", 0), (f'he asked: "{item}", and', 0), ("so what is teh capital city of australia?", 2), ("what is the capitol city of australia.", 1), (item, 0)):
+        got = [f for f in m.find(line) if f[0] == 0]
+        assert len(got) == 1 and got[0][3] == edits, line
+        assert edit_distance(line[got[0][1]:got[0][2]], item) == edits
+    assert [f[1:] for f in m.find("a red fox, red foxes; (red fox) infrared fox")] == [(2, 9, 0), (23, 30, 0)]
+    assert not m.find("whatever is the capital cities of austria") and not m.find("red fix")
+    rng = np.random.default_rng(12)
+    for _ in range(150):
+        s = list(item)
+        for _ in range(2):
+            s[int(rng.integers(0, len(s)))] = str(rng.choice(list("abcdefgh")))
+        assert m.find("before, " + "".join(s) + "; after")
+
+
 def test_kneser_ney_sums_to_one():
     texts = {"x": ["abab", "abc", "b"], "y": ["ccc", "cab"]}
     counts = Counter((x, g) for x, ws in texts.items() for w in ws for g in langid._grams(w))
