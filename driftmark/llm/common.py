@@ -65,6 +65,65 @@ def map_texts(docs: DataFrame, make: Callable, ddl: str, keep=("doc_id",), text=
     return own.mapInArrow(run, schema)
 
 
+def gathered(batches, column: int, size: int, rows=1 << 20):
+    """Tables of about ``size`` bytes (at most so many rows) of ``column``: small batches joined, large ones cut."""
+    held, total, n = [], 0, 0
+    for whole in batches:
+        for b in slices(whole, column, rows, size):
+            held.append(b)
+            total += pc.sum(pc.binary_length(b.column(column))).as_py() or 0
+            n += b.num_rows
+            if total >= size or n >= rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, total, n = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def byte_classes(**members) -> np.ndarray:
+    """Class of each byte: 0 part of a word, 1 between words (``between``), 2 a border (``border``)."""
+    out = np.zeros(256, np.uint8)
+    out[list(members.get("between", ()))] = 1
+    out[list(members.get("border", ()))] = 2
+    return out
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
+def byte_words(texts: pa.Array, classes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of the texts in order (A-Z lower-cased), each word's text index, and whether a text or a border
+    begins between it and the word before. Null texts are empty; only ASCII bytes may have a class over 0."""
+    s = pc.fill_null(texts.cast(pa.large_string()), "")
+    at = np.frombuffer(s.buffers()[1], np.int64)[s.offset:s.offset + len(s) + 1] if len(s) else np.zeros(1, np.int64)
+    data = np.frombuffer(s.buffers()[2], np.uint8)[at[0]:at[-1]] if s.buffers()[2] is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    kind = classes[data]
+    inside = kind == 0
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    inner = at[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    begins[inner] = inside[inner]
+    ends[inner - 1] = inside[inner - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    offsets = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(_LOWER[data[inside]]))])
+    doc = np.searchsorted(at[1:], start, side="right")
+    border = np.searchsorted(np.flatnonzero(kind == 2), start)
+    apart = np.ones(len(start), bool)
+    apart[1:] = (doc[1:] != doc[:-1]) | (border[1:] != border[:-1])
+    return words, doc, apart
+
+
+def drop(spark, folder: str) -> None:
+    """Delete a folder of the work folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words_of(texts: pa.Array, lower=True) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and each word's text index (null texts have none)."""
     s = texts.cast(pa.string())

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, hmm, langid, licenses, mixing, secrets, simhash, sketches, toxicity, warc
+from . import decontam, hmm, langid, licenses, mixing, packing, phrases, search, secrets, simhash, sketches, toxicity, warc
 
 QUERIES = {}
-SQL = {"op1_mix_sources": mixing.SQL, "op9_warc_shards": warc.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op9_warc_shards": warc.SQL, "op11_collocations": phrases.SQL, "op12_ranked_search": search.SQL}
 
 
 def query(fn):
@@ -71,3 +71,18 @@ def op9_warc_shards(spark, sf):
 @query
 def op10_hmm_scores(spark, sf):
     return hmm.scores(documents(spark, sf), F.coalesce(C.crc_mod("doc_id", 7) == 2, F.lit(False)))
+
+
+@query
+def op11_collocations(spark, sf):
+    return phrases.collocations(documents(spark, sf))
+
+
+@query
+def op12_ranked_search(spark, sf):
+    return search.ranked(documents(spark, sf), C.read(spark, sf, "benchmark"))
+
+
+@query
+def op13_pack(spark, sf):
+    return packing.packed(documents(spark, sf))
