@@ -10,15 +10,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import new_folder
+from ..session import new_folder, written
 from . import common as C
 
-#: Shards of the corpus, which are scanned by turns; slots of the activation table (one byte each).
-SHARDS, SLOTS = 3, 1 << 23
+#: Shards of the corpus, which are scanned by turns; words of the corpus to a slot of the activation table (one byte
+#: each), and its least and largest size (what a task gets is bounded by the latter).
+SHARDS, WORDS_PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 3, 16, 1 << 16, 1 << 27
+#: Slots of a block of the table.
+BLOCK = 1 << 14
 #: Words of the longest phrase.
 LONGEST = 4
 #: Bytes of text that share a dictionary; bounds a task's memory.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 #: Borders of pieces, and what stands between the words of one.
 CLASSES = C.byte_classes(border=b".,;:!?\n\x0b\x0c\r", between=b" \t")
 #: In the activation table: no phrase of this slot has reached the threshold.
@@ -26,7 +29,7 @@ NEVER = 255
 # Odd multipliers of a 64-bit mix.
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9))
 CODED = "shard int, langs array<string>, totals array<bigint>, words array<string>, word_lang binary, hashes binary, codes binary"
-COUNTED = "lang string, len int, phrase string, slot int, start int, n bigint"
+COUNTED = "exact boolean, lang string, len int, phrase string, n bigint, block int, at binary, add binary"
 
 
 def encoded(docs: DataFrame, folder: str, shards=SHARDS, chunk_bytes=CHUNK_BYTES, lang="lang", text="text") -> DataFrame:
@@ -79,48 +82,78 @@ def _slots(hashes: np.ndarray, length: int, slots: int) -> np.ndarray:
 
 
 def active(words: pa.Array, hashes: np.ndarray, codes: np.ndarray, reached: np.ndarray, step: int, shards: int, longest=LONGEST):
-    """(length, phrases, first word's code, slots, start steps, counts) of the phrases that ``step`` counts in a chunk.
-
-    ``reached`` holds, for each slot, the step in which a phrase of that slot first stood at the threshold. A phrase
-    counts as reached once its own slot is and both of its subphrases are; so the step in which a phrase starts,
-    one after its later subphrase, follows from the table alone, is the same in all chunks, and never comes after
-    the true one. Phrases that share a slot with a frequent one may start needlessly; they can't be counted wrongly.
+    """(length, phrases, first word's code, slots, counts, in slots, exact) of the phrases that a chunk has in ``step``:
+    which of them count in their slot now, and which count exactly.
+
+    ``reached`` holds, for each slot, the step in which the slot's count first stood at the threshold. A phrase counts
+    as reached once its own slot is and both of its subphrases are; its slot counts it for one cycle from the step
+    after its later subphrase, and it is counted exactly for one cycle from the step after it is reached itself. These
+    steps follow from the table alone, so they are the same in all chunks. A slot's count is never less than that
+    of a phrase in it, so no frequent phrase is missed; what shares a slot with others may be counted needlessly.
     """
     held = codes >= 0
     slot = _slots(hashes, 1, len(reached))
-    if step < shards:  # every word starts in step 0
-        yield 1, words, np.arange(len(words)), slot, np.zeros(len(words), np.int64), np.bincount(codes[held], minlength=len(words))
-    when = np.full(len(codes), NEVER, np.int64)  # by place: the step in which the phrase that begins there was reached
-    when[held] = reached[slot][codes[held]]
-    ident, phrases, hash_of = codes.astype(np.int64), words, hashes
+    own_step, start = reached[slot].astype(np.int64), np.zeros(len(words), np.int64)  # every word starts in step 0
+    n = np.bincount(codes[held], minlength=len(words))
+    yield 1, words, np.arange(len(words)), slot, n, (own_step == NEVER) & (step < start + shards), (own_step < NEVER) & (step <= own_step + shards)
+    when = np.full(len(codes), NEVER, np.int16)  # by place: the step in which the phrase that begins there was reached
+    when[held] = own_step[codes[held]]
+    ident, phrases, hash_of = codes, words, hashes
     for length in range(2, longest + 1):
         places = np.flatnonzero((when[:-1] < NEVER) & (when[1:] < NEVER))
-        places = places[places + length - 1 < len(codes)]
         if not len(places):
             return
-        key = pa.array(ident[places] * len(words) + codes[places + length - 1]).dictionary_encode()
-        own = key.indices.to_numpy().astype(np.int64)
+        key = pa.array(ident[places].astype(np.int64) * len(words) + codes[places + length - 1]).dictionary_encode()
+        own = key.indices.to_numpy()
         some = np.empty(len(key.dictionary), np.int64)
         some[own] = places  # a place of each phrase
-        start = np.maximum(when[some], when[some + 1]) + 1
+        start = np.maximum(when[some], when[some + 1]).astype(np.int64) + 1
         prefix, last = ident[some], codes[some + length - 1]
         hash_of = (hash_of[prefix] ^ (hash_of[prefix] >> np.uint64(29))) * _MIX[0] + hashes[last]
-        phrases = pc.binary_join_element_wise(phrases.take(pa.array(prefix)), words.take(pa.array(last)), pa.scalar(" ", pa.large_string()))
+        phrases = _Joined(phrases, prefix, words, last)
         slot = _slots(hash_of, length, len(reached))
-        now = np.flatnonzero(step < start + shards)
-        if len(now):
-            yield length, phrases.take(pa.array(now)), codes[some[now]], slot[now], start[now], np.bincount(own, minlength=len(some))[now]
         own_step = np.where(reached[slot] == NEVER, NEVER, np.maximum(reached[slot], start - 1))
-        when = np.full(len(codes), NEVER, np.int64)
+        yield (length, phrases, codes[some], slot, np.bincount(own, minlength=len(some)), (own_step == NEVER) & (step < start + shards),
+               (own_step < NEVER) & (step <= own_step + shards))
+        when = np.full(len(codes), NEVER, np.int16)
         when[places] = own_step[own]
-        ident = np.full(len(codes), -1, np.int64)
+        ident = np.full(len(codes), -1, np.int32)
         ident[places] = own
 
 
+class _Joined:
+    """Phrases as a prefix and a last word; only those asked for become strings."""
+
+    def __init__(self, phrases, prefix, words, last):
+        self.phrases, self.prefix, self.words, self.last = phrases, prefix, words, last
+
+    def take(self, at: pa.Array) -> pa.Array:
+        i = at.to_numpy()
+        return pc.binary_join_element_wise(self.phrases.take(pa.array(self.prefix[i])), self.words.take(pa.array(self.last[i])), pa.scalar(" ", pa.large_string()))
+
+
+def _blocks(slots: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Sums by slot as (blocks, places in the block, sums up to 255), two and one bytes each."""
+    slot, n = np.concatenate(slots), np.concatenate(counts)
+    order = np.argsort(slot, kind="stable")
+    slot, n = slot[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.zeros(0, np.int64)
+    total = np.minimum(np.add.reduceat(n, first), 255).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
+    block, begin = np.unique(slot[first] // BLOCK, return_index=True)
+    ends = np.append(begin, len(first)).astype(np.int32)
+    at = (slot[first] % BLOCK).astype(np.uint16)
+    binary = lambda x, width: pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(ends * np.int32(width)), pa.py_buffer(x)])
+    return block, binary(at, 2), binary(total, 1)
+
+
 def _scan(coded: DataFrame, reached, step: int, shards: int, longest: int) -> DataFrame:
-    """Counts of the shard of this step: one row per chunk and active phrase."""
+    """Of the shard of this step, by chunk: the exactly counted phrases, and the sums by slot of the others."""
     arrow = _arrow(COUNTED)
 
+    def batch(rows, **own):
+        cols = [own[f.name].cast(f.type) if f.name in own else pa.nulls(rows, f.type) for f in arrow]
+        return pa.RecordBatch.from_arrays(cols, schema=arrow)
+
     def run(batches):
         table = reached.value
         for b in batches:
@@ -129,63 +162,91 @@ def _scan(coded: DataFrame, reached, step: int, shards: int, longest: int) -> Da
                 words, langs = row["words"].values.cast(pa.large_string()), pa.array(row["langs"].as_py(), pa.string())
                 lang_of = np.frombuffer(row["word_lang"].as_buffer(), np.int32)
                 hashes, codes = np.frombuffer(row["hashes"].as_buffer(), np.uint64), np.frombuffer(row["codes"].as_buffer(), np.int32)
-                for length, phrases, first, slot, start, n in active(words, hashes, codes, table, step, shards, longest):
-                    cols = [langs.take(pa.array(lang_of[first])), pa.array(np.full(len(n), length, np.int32)), phrases, pa.array(slot.astype(np.int32)),
-                            pa.array(start.astype(np.int32)), pa.array(n.astype(np.int64))]
-                    whole = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
-                    for at in range(0, len(n), 1 << 16):
-                        yield whole.slice(at, 1 << 16)
+                slots, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for length, phrases, first, slot, n, in_slots, exact in active(words, hashes, codes, table, step, shards, longest):
+                    slots.append(slot[in_slots])
+                    counts.append(n[in_slots])
+                    now = np.flatnonzero(exact)
+                    for at in range(0, len(now), 1 << 16):
+                        x = now[at:at + (1 << 16)]
+                        yield batch(len(x), exact=pa.array(np.ones(len(x), bool)), lang=langs.take(pa.array(lang_of[first[x]])), len=pa.array(np.full(len(x), length)),
+                                    phrase=phrases.take(pa.array(x)), n=pa.array(n[x].astype(np.int64)))
+                block, places, sums = _blocks(slots, counts)
+                yield batch(len(block), exact=pa.array(np.zeros(len(block), bool)), block=pa.array(block), at=places, add=sums)
 
     return coded.where(F.col("shard") == step % shards).select("langs", "words", "word_lang", "hashes", "codes").mapInArrow(run, COUNTED)
 
 
-def _reached_slots(spark, rows: DataFrame, slots: int) -> np.ndarray:
-    """Distinct slots of the rows, through bitmaps: at most ``slots`` / 8 bytes go to the driver."""
-    at = F.col("slot").cast("long") + 1
-    got = rows.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = [((b - 1) * 32768 + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))) for b, bits in got]
-    found = np.concatenate(out) if out else np.zeros(0, np.int64)
-    return found[found < slots]
+def _summed(rows: DataFrame, least: int, slots: int) -> DataFrame:
+    """Rows (block, at, add) summed by slot: again (block, at, add) of the slots below ``least``, and the others' bits.
 
+    Blocks are dealt to the tasks, which add row by row; a task holds its own blocks of the table and no more.
+    """
+    n = min(max(1, slots // BLOCK), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def frequent(docs: DataFrame, least=30, shards=SHARDS, slots=SLOTS, longest=LONGEST, chunk_bytes=CHUNK_BYTES, lang="lang", text="text") -> tuple[DataFrame, DataFrame]:
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, at, add in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                total = held.setdefault(block, np.zeros(BLOCK, np.uint16))
+                i = np.frombuffer(at.as_buffer(), np.uint16)
+                total[i] = np.minimum(total[i] + np.frombuffer(add.as_buffer(), np.uint8), 255)
+        for block, total in held.items():
+            over = total >= least
+            i = np.flatnonzero((total > 0) & ~over)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "at": pa.array([i.astype(np.uint16).tobytes()]),
+                                              "add": pa.array([total[i].astype(np.uint8).tobytes()]), "over": pa.array([np.packbits(over).tobytes()])})
+
+    return rows.repartition(n, "block").mapInArrow(run, "block int, at binary, add binary, over binary")
+
+
+def frequent(docs: DataFrame, least=30, shards=SHARDS, slots=None, longest=LONGEST, chunk_bytes=CHUNK_BYTES, lang="lang", text="text") -> tuple[DataFrame, DataFrame]:
     """(lang, len, phrase, n) of all phrases of 1 to ``longest`` words with at least ``least`` occurrences, and the
     number of words of each language (lang, n).
 
-    Dynamic itemset counting: each step scans one shard, by turns, and counts all lengths at once. Words count from
-    the first step. A phrase starts in the step after both of its subphrases (without the last, without the first
-    word) have reached ``least``, is counted in each shard once, and ends; so longer phrases begin before the
-    shorter ones are done, and every count is exact. Steps end when no phrase can start or is open any more, after
-    ``longest`` cycles at most. Open counts are a table that each step replaces.
+    Dynamic itemset counting: each step scans one shard, by turns, and counts all lengths at once. Counts begin in
+    the slots of a table of fixed size, which bound the counts of the phrases in them from above. Words start in the
+    first step; a longer phrase starts in the step after both of its subphrases (without the last, without the first
+    word) have reached ``least``, long before those have been counted in full. A phrase whose slot reaches ``least``
+    gets an exact count, over one full cycle of the shards, and ends. Steps end when nothing can start or is open.
+    So few phrases below ``least`` are ever written out, and the exact counts meet in one shuffle at the end.
+    ``slots`` follows the number of words, up to a fixed size; more phrases a slot cost time, not truth.
     """
-    if not 1 <= shards * longest < NEVER:
-        raise ValueError("too many shards for one byte a slot")
+    if not 1 <= shards * (longest + 1) < NEVER or not 1 <= least < NEVER:
+        raise ValueError("steps and threshold must fit one byte a slot")
     spark = docs.sparkSession
-    texts, root = new_folder(spark, "coded"), new_folder(spark, "phrases")
-    coded = encoded(docs, texts, shards, chunk_bytes, lang, text)
-    table = "lang string, len int, phrase string, slot int, start int, hit int, n bigint, step int, state string"
-    counts = lambda: spark.read.schema(table).parquet(root)
+    root = new_folder(spark, "phrases")
+    coded = encoded(docs, f"{root}/coded", shards, chunk_bytes, lang, text)
+    words = coded.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
+    if slots is None:
+        total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (int(total) // WORDS_PER_SLOT).bit_length()))
+    table = f"{COUNTED}, step int"
+    counts = lambda: spark.read.schema(table).parquet(f"{root}/counts")
+    sums = lambda step: spark.read.schema("block int, at binary, add binary, over binary").parquet(f"{root}/slots-{step}")
     reached, last = np.full(slots, NEVER, np.uint8), 0
-    for step in range(shards * longest):
+    for step in range(shards * (longest + 1)):
         sent = spark.sparkContext.broadcast(reached)
-        rows = _scan(coded, sent, step, shards, longest).withColumn("hit", F.lit(None).cast("int"))
-        if step:
-            rows = rows.unionByName(counts().where((F.col("step") == step - 1) & (F.col("state") == "open")).drop("step", "state"))
-        now = rows.groupBy("lang", "len", "phrase").agg(F.min("slot").alias("slot"), F.min("start").alias("start"), F.min("hit").alias("hit"), F.sum("n").alias("n"))
-        done = F.col("start") + shards - 1 <= step
-        now = now.withColumn("hit", F.coalesce("hit", F.when(F.col("n") >= least, F.lit(step)))).where(~done | F.col("hit").isNotNull())
-        now.withColumn("state", F.when(done, F.lit("kept")).otherwise(F.lit("open"))).write.partitionBy("state").parquet(f"{root}/step={step}")
+        _scan(coded, sent, step, shards, longest).write.partitionBy("exact").parquet(f"{root}/counts/step={step}")
         sent.destroy()
+        rows = counts().where((F.col("step") == step) & ~F.col("exact")).select("block", "at", "add")
+        rows = rows.union(sums(step - 1).select("block", "at", "add")) if step else rows
+        _summed(rows, least, slots).write.parquet(f"{root}/slots-{step}")
+        C.drop(spark, f"{root}/counts/step={step}/exact=false")
         if step:
-            C.drop(spark, f"{root}/step={step - 1}/state=open")
-        new = _reached_slots(spark, counts().where((F.col("step") == step) & (F.col("hit") == step) & (F.col("len") < longest)), slots)
-        if len(new):
-            reached, last = reached.copy(), step
-            reached[new] = np.minimum(reached[new], step)
+            C.drop(spark, f"{root}/slots-{step - 1}")
+        fresh = False
+        for block, over in sums(step).select("block", "over").toLocalIterator():  # a bit a slot at most
+            at = block * BLOCK + np.flatnonzero(np.unpackbits(np.frombuffer(over, np.uint8)))
+            at = at[reached[at] == NEVER]
+            if len(at):
+                reached = reached if fresh else reached.copy()
+                reached[at], fresh = step, True
+        last = step if fresh else last
         if step >= max(shards - 1, last + shards):
             break
-    words = coded.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
-    return counts().where("state = 'kept'").select("lang", "len", "phrase", "n"), words
+    exact = counts().where("exact").groupBy("lang", "len", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return written(exact, "frequent"), words
 
 
 def _part(first, size):

@@ -70,7 +70,7 @@ def collocations_by_hand(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shards,slots", [(1, 1 << 16), (3, 1 << 16), (4, 8)])  # with 8 slots all phrases share them
+@pytest.mark.parametrize("shards,slots", [(1, None), (3, 1 << 16), (4, 1 << 14)])
 def test_phrase_counts_equal_brute_force(docs, shards, slots):
     counts, totals = counted_by_hand(ROWS)
     got, words = phrases.frequent(docs, 5, shards=shards, slots=slots, chunk_bytes=2000)
@@ -80,7 +80,7 @@ def test_phrase_counts_equal_brute_force(docs, shards, slots):
 
 
 def test_collocations_equal_brute_force(docs):
-    got = sorted(rows_of(phrases.collocations(docs, least=4, top=25, chunk_bytes=4000, slots=1 << 16).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")))
+    got = sorted(rows_of(phrases.collocations(docs, least=4, top=25, chunk_bytes=4000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")))
     assert got == collocations_by_hand(ROWS, 4, 25)
     assert len({lang for lang, *_ in got}) > 2
 
@@ -90,11 +90,13 @@ def test_longer_phrases_start_before_shorter_ones_are_done():
     words = pa.array(["a", "b"], pa.large_string())
     hashes, codes = np.array([11, 22], np.uint64), np.array([-1, 0, 1, 0, 1], np.int32)
     reached = np.full(1 << 10, phrases.NEVER, np.uint8)
-    assert {x[0] for x in phrases.active(words, hashes, codes, reached, 0, 3)} == {1}
+    seen = lambda step: {x[0]: (x[1].take(pa.array([0, 1])).to_pylist(), *(v.tolist() for v in x[4:])) for x in phrases.active(words, hashes, codes, reached, step, 3)}
+    assert seen(0) == {1: (["a", "b"], [2, 2], [True, True], [False, False])}
     reached[phrases._slots(hashes, 1, 1 << 10)] = 0
-    got = {x[0]: (x[1].to_pylist(), x[4].tolist(), x[5].tolist()) for x in phrases.active(words, hashes, codes, reached, 1, 3)}
-    assert got[2] == (["a b", "b a"], [1, 1], [2, 1])
-    assert not [x for x in phrases.active(words, hashes, codes, reached, 4, 3)]  # each has had its one cycle
+    for step in (1, 2, 3):
+        assert seen(step)[1][2:] == ([False, False], [True, True])
+        assert seen(step)[2] == (["a b", "b a"], [2, 1], [True, True], [False, False])
+    assert seen(4)[1][2:] == seen(4)[2][2:] == ([False, False], [False, False])  # each has had its one cycle
 
 
 def test_phrase_arithmetic_passes_64_bits(spark, monkeypatch):
@@ -105,8 +107,8 @@ def test_phrase_arithmetic_passes_64_bits(spark, monkeypatch):
 
 
 def test_phrases_of_empty_tables(docs):
-    assert phrases.collocations(docs.where("false"), slots=1 << 10).count() == 0
-    assert phrases.collocations(docs.where("text is null or doc_id = 302"), least=1, slots=1 << 10).count() == 0
+    assert phrases.collocations(docs.where("false")).count() == 0
+    assert phrases.collocations(docs.where("text is null or doc_id = 302"), least=1).count() == 0
 
 
 # --- ranked search ------------------------------------------------------------------------------
@@ -249,7 +251,7 @@ def test_costs_are_balanced_and_whole_documents_stay_whole():
         load[at] += packing.cost(n)
         used[at] += n
     assert (used == room).all()
-    assert len(pieces) < 1.05 * len(sizes)
+    assert len(pieces) <= len(sizes) + len(room)  # about a cut a sequence, which fills it
     load = load[room == packing.LENGTH]
     assert load.std() < 0.05 * load.mean()
 
