@@ -21,7 +21,7 @@ BLOCK = 1 << 14
 #: Words of the longest phrase.
 LONGEST = 4
 #: Bytes of text that share a dictionary; bounds a task's memory.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 #: Borders of pieces, and what stands between the words of one.
 CLASSES = C.byte_classes(border=b".,;:!?\n\x0b\x0c\r", between=b" \t")
 #: In the activation table: no phrase of this slot has reached the threshold.
@@ -62,6 +62,7 @@ def encoded(docs: DataFrame, folder: str, shards=SHARDS, chunk_bytes=CHUNK_BYTES
             cols = [pa.ListArray.from_arrays(pa.array([0, len(word)], pa.int32()), word.cast(pa.string())) if f.name == "words" else pa.array([x], f.type)
                     for x, f in zip(row, arrow)]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     rows.mapInArrow(run, CODED).write.partitionBy("shard").parquet(folder)
     return spark.read.schema(CODED).parquet(folder)
@@ -173,6 +174,7 @@ def _scan(coded: DataFrame, reached, step: int, shards: int, longest: int) -> Da
                                     phrase=phrases.take(pa.array(x)), n=pa.array(n[x].astype(np.int64)))
                 block, places, sums = _blocks(slots, counts)
                 yield batch(len(block), exact=pa.array(np.zeros(len(block), bool)), block=pa.array(block), at=places, add=sums)
+                pa.default_memory_pool().release_unused()
 
     return coded.where(F.col("shard") == step % shards).select("langs", "words", "word_lang", "hashes", "codes").mapInArrow(run, COUNTED)
 
