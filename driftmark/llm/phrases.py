@@ -29,7 +29,7 @@ NEVER = 255
 # Odd multipliers of a 64-bit mix.
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9))
 CODED = "shard int, langs array<string>, totals array<bigint>, words array<string>, word_lang binary, hashes binary, codes binary"
-COUNTED = "exact boolean, lang string, len int, phrase string, n bigint, block int, at binary, add binary"
+COUNTED = "exact boolean, lang string, phrase string, n bigint, block int, at binary, add binary"
 
 
 def encoded(docs: DataFrame, folder: str, shards=SHARDS, chunk_bytes=CHUNK_BYTES, lang="lang", text="text") -> DataFrame:
@@ -52,7 +52,9 @@ def encoded(docs: DataFrame, folder: str, shards=SHARDS, chunk_bytes=CHUNK_BYTES
             of_doc, names = langs.indices.to_numpy().astype(np.int64), langs.dictionary
             code, distinct = C.coded(words)
             both = pa.array(code * len(names) + of_doc[doc]).dictionary_encode()
-            code, pair = both.indices.to_numpy().astype(np.int32), both.dictionary.to_numpy()
+            code, pair = both.indices.to_numpy(), both.dictionary.to_numpy()
+            often = np.argsort(-np.bincount(code, minlength=len(pair)), kind="stable")  # frequent words have small codes, which compress well
+            code, pair = np.argsort(often).astype(np.int32)[code], pair[often]
             word, word_lang = distinct.take(pa.array(pair // len(names))), pair % len(names)
             salt = np.array([xxhash.xxh64_intdigest(x, 1) for x in names.to_pylist()], np.uint64)
             hashes = np.array([xxhash.xxh64_intdigest(x) for x in word.to_pylist()], np.uint64) * _MIX[1] + salt[word_lang]
@@ -64,7 +66,7 @@ def encoded(docs: DataFrame, folder: str, shards=SHARDS, chunk_bytes=CHUNK_BYTES
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
             pa.default_memory_pool().release_unused()
 
-    rows.mapInArrow(run, CODED).write.partitionBy("shard").parquet(folder)
+    rows.mapInArrow(run, CODED).write.partitionBy("shard").parquet(folder, compression="zstd")
     return spark.read.schema(CODED).parquet(folder)
 
 
@@ -164,13 +166,13 @@ def _scan(coded: DataFrame, reached, step: int, shards: int, longest: int) -> Da
                 lang_of = np.frombuffer(row["word_lang"].as_buffer(), np.int32)
                 hashes, codes = np.frombuffer(row["hashes"].as_buffer(), np.uint64), np.frombuffer(row["codes"].as_buffer(), np.int32)
                 slots, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for length, phrases, first, slot, n, in_slots, exact in active(words, hashes, codes, table, step, shards, longest):
+                for _, phrases, first, slot, n, in_slots, exact in active(words, hashes, codes, table, step, shards, longest):
                     slots.append(slot[in_slots])
                     counts.append(n[in_slots])
                     now = np.flatnonzero(exact)
                     for at in range(0, len(now), 1 << 16):
                         x = now[at:at + (1 << 16)]
-                        yield batch(len(x), exact=pa.array(np.ones(len(x), bool)), lang=langs.take(pa.array(lang_of[first[x]])), len=pa.array(np.full(len(x), length)),
+                        yield batch(len(x), exact=pa.array(np.ones(len(x), bool)), lang=langs.take(pa.array(lang_of[first[x]])),
                                     phrase=phrases.take(pa.array(x)), n=pa.array(n[x].astype(np.int64)))
                 block, places, sums = _blocks(slots, counts)
                 yield batch(len(block), exact=pa.array(np.zeros(len(block), bool)), block=pa.array(block), at=places, add=sums)
@@ -179,27 +181,37 @@ def _scan(coded: DataFrame, reached, step: int, shards: int, longest: int) -> Da
     return coded.where(F.col("shard") == step % shards).select("langs", "words", "word_lang", "hashes", "codes").mapInArrow(run, COUNTED)
 
 
-def _summed(rows: DataFrame, least: int, slots: int) -> DataFrame:
-    """Rows (block, at, add) summed by slot: again (block, at, add) of the slots below ``least``, and the others' bits.
+SUMMED = "block int, added int, at binary, add binary, over binary"
 
-    Blocks are dealt to the tasks, which add row by row; a task holds its own blocks of the table and no more.
+
+def _summed(rows: DataFrame, least: int, slots: int, step: int, shards: int) -> DataFrame:
+    """Rows (block, added, at, add) summed by slot and by the step that added them; ``over`` has a bit for each slot that
+    reached ``least`` within one cycle, which is as long as any phrase counts there.
+
+    Blocks are dealt to the tasks, which add row by row; a task holds its own blocks of the table and no more. What
+    the next cycle still needs stays: sums of the last steps, without the slots over the threshold.
     """
     n = min(max(1, slots // BLOCK), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    arrow = _arrow(SUMMED)
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for block, at, add in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                total = held.setdefault(block, np.zeros(BLOCK, np.uint16))
+            for block, added, at, add in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                total = held.setdefault(block, np.zeros((shards, BLOCK), np.uint16))[added % shards]
                 i = np.frombuffer(at.as_buffer(), np.uint16)
                 total[i] = np.minimum(total[i] + np.frombuffer(add.as_buffer(), np.uint8), 255)
         for block, total in held.items():
-            over = total >= least
-            i = np.flatnonzero((total > 0) & ~over)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "at": pa.array([i.astype(np.uint16).tobytes()]),
-                                              "add": pa.array([total[i].astype(np.uint8).tobytes()]), "over": pa.array([np.packbits(over).tobytes()])})
+            over = total.sum(0) >= least
+            for added in range(max(0, step - shards + 1), step + 1):
+                own = total[added % shards]
+                i = np.flatnonzero((own > 0) & ~over) if added > step - shards + 1 else np.zeros(0, np.int64)
+                bits = np.packbits(over).tobytes() if added == step and over.any() else None
+                if len(i) or bits:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(
+                        (block, added, i.astype(np.uint16).tobytes(), own[i].astype(np.uint8).tobytes(), bits), arrow)], schema=arrow)
 
-    return rows.repartition(n, "block").mapInArrow(run, "block int, at binary, add binary, over binary")
+    return rows.repartition(n, "block").mapInArrow(run, SUMMED)
 
 
 def frequent(docs: DataFrame, least=30, shards=SHARDS, slots=None, longest=LONGEST, chunk_bytes=CHUNK_BYTES, lang="lang", text="text") -> tuple[DataFrame, DataFrame]:
@@ -219,26 +231,26 @@ def frequent(docs: DataFrame, least=30, shards=SHARDS, slots=None, longest=LONGE
     spark = docs.sparkSession
     root = new_folder(spark, "phrases")
     coded = encoded(docs, f"{root}/coded", shards, chunk_bytes, lang, text)
-    words = coded.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
+    words = written(coded.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n")), "words")
     if slots is None:
         total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (int(total) // WORDS_PER_SLOT).bit_length()))
     table = f"{COUNTED}, step int"
     counts = lambda: spark.read.schema(table).parquet(f"{root}/counts")
-    sums = lambda step: spark.read.schema("block int, at binary, add binary, over binary").parquet(f"{root}/slots-{step}")
+    sums = lambda step: spark.read.schema(SUMMED).parquet(f"{root}/slots-{step}")
     reached, last = np.full(slots, NEVER, np.uint8), 0
     for step in range(shards * (longest + 1)):
         sent = spark.sparkContext.broadcast(reached)
-        _scan(coded, sent, step, shards, longest).write.partitionBy("exact").parquet(f"{root}/counts/step={step}")
+        _scan(coded, sent, step, shards, longest).write.partitionBy("exact").parquet(f"{root}/counts/step={step}", compression="zstd")
         sent.destroy()
-        rows = counts().where((F.col("step") == step) & ~F.col("exact")).select("block", "at", "add")
-        rows = rows.union(sums(step - 1).select("block", "at", "add")) if step else rows
-        _summed(rows, least, slots).write.parquet(f"{root}/slots-{step}")
+        rows = counts().where((F.col("step") == step) & ~F.col("exact")).select("block", F.lit(step).alias("added"), "at", "add")
+        rows = rows.union(sums(step - 1).select("block", "added", "at", "add")) if step else rows
+        _summed(rows, least, slots, step, shards).write.parquet(f"{root}/slots-{step}")
         C.drop(spark, f"{root}/counts/step={step}/exact=false")
         if step:
             C.drop(spark, f"{root}/slots-{step - 1}")
         fresh = False
-        for block, over in sums(step).select("block", "over").toLocalIterator():  # a bit a slot at most
+        for block, over in sums(step).where("over is not null").select("block", "over").toLocalIterator():  # a bit a slot at most
             at = block * BLOCK + np.flatnonzero(np.unpackbits(np.frombuffer(over, np.uint8)))
             at = at[reached[at] == NEVER]
             if len(at):
@@ -247,8 +259,10 @@ def frequent(docs: DataFrame, least=30, shards=SHARDS, slots=None, longest=LONGE
         last = step if fresh else last
         if step >= max(shards - 1, last + shards):
             break
-    exact = counts().where("exact").groupBy("lang", "len", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return written(exact, "frequent"), words
+    exact = counts().where("exact").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    exact = written(exact.select("lang", F.size(F.split("phrase", " ")).alias("len"), "phrase", "n"), "frequent")
+    C.drop(spark, f"{root}/coded")
+    return exact, words
 
 
 def _part(first, size):
