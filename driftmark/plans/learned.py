@@ -12,8 +12,10 @@ from ..operators import experiments as E
 from ..operators import lenses as Z
 from ..operators import linear as L
 from ..operators import metrics as M
+from ..operators import lsh as LS
 from ..operators import neighbors as NN
 from ..operators import profile as P
+from ..operators import projection as PR
 from ..operators import ranks
 from ..operators import shift as H
 from ..operators import terms as T
@@ -176,25 +178,66 @@ def kmeans_assign(spark, sf):
     return NN.nearest_centre(e, ct)
 
 
+@query("knn_join_lsh")
+def knn_join_lsh(spark, sf):
+    """Two near training vectors of every held-out vector, by random-projection buckets and exact re-rank."""
+    e = cut_lineage(embedded(spark, sf))
+    return LS.knn_lsh(e.where("split = 'val'").select("id", "x"), e.where("split = 'train'").select("id", "x"), 2)
+
+
+@query("knn_graph_lsh")
+def knn_graph_lsh(spark, sf):
+    """Near-neighbour graph (seven each, itself included) over all vectors."""
+    e = embedded(spark, sf).select("id", "x")
+    return LS.knn_lsh(e, e, 7)
+
+
+@query("knn_classify_lsh")
+def knn_classify_lsh(spark, sf):
+    """Majority label of the two near training vectors of every held-out vector."""
+    e = cut_lineage(embedded(spark, sf))
+    nn = LS.knn_lsh(e.where("split = 'val'").select("id", "x"), e.where("split = 'train'").select("id", "x"), 2)
+    return NN.vote(nn, e.select("id", "label"))
+
+
+def text_space(spark, sf, k=20):
+    """Every document in the LSA space of the labelled ones' words and character n-grams: (doc_id, x), and the model."""
+    d = C.corpus(spark, sf)
+    blocks = lambda x: T.stack_blocks(T.word_terms(x, 1, 2), T.char_wb_terms(x, 3, 4))
+    terms = cut_lineage(blocks(d))
+    tr = cut_lineage(d.where("label IS NOT NULL").select("doc_id"))
+    vocab = T.fit_vocab(terms.join(tr, "doc_id", "left_semi"), tr, 5)
+    long = cut_lineage(T.weigh(terms, vocab))
+    model, _ = PR.fit_lsa(long.join(tr, "doc_id", "left_semi"), k)
+    return cut_lineage(model.project(long, d)), model
+
+
 @query("label_spread")
 def label_spread(spark, sf):
-    """Labels of half the vectors spread over the seven-neighbour graph."""
-    e = cut_lineage(ranks.pool_eval_split(embedded(spark, sf), key="id"))
-    seeds = e.select("id", F.when(F.col("part") == "eval", (F.col("label") >= 5).cast("int")).alias("label"))
-    edges = NN.knn_join(e.select("id", "x"), e.select("id", "x"), 7)
+    """Labels of the labelled documents spread over the seven-neighbour graph of all documents (labelled, pool and
+    evaluation rows alike) in the LSA space of their fused text; half of the labels are hidden and scored."""
+    x = text_space(spark, sf)[0].withColumnRenamed("doc_id", "id")
+    known = cut_lineage(ranks.pool_eval_split(C.labelled(spark, sf).select(F.col("doc_id").alias("id"), "label"), key="id"))
+    seeds = x.select("id").join(known, "id", "left").select("id", F.when(F.col("part") == "pool", F.col("label")).alias("label"))
+    edges = LS.knn_lsh(x, x, 7)
     return NN.label_spread(edges, seeds)
 
 
 @query("pca")
 def pca(spark, sf):
-    scores, _ = NN.pca(embedded(spark, sf).select("id", "x"), 10)
-    return scores
+    """Scores of all vectors on principal components of the training side, at four sizes."""
+    e = cut_lineage(embedded(spark, sf))
+    parts = []
+    for k in (8, 16, 32, 64):
+        project, _ = PR.fit_pca(e.where("split = 'train'"), k)
+        parts.append(project(e.select("id", "split", "x")).withColumn("k", F.lit(k)))
+    return T.stack_blocks(*parts)
 
 
 @query("explained_variance")
 def explained_variance(spark, sf):
-    """Variance share per component (at most k numbers) with its running sum."""
-    _, model = NN.pca(embedded(spark, sf).select("id", "x"), 32)
+    """Variance share per component (at most k numbers) with its running sum, fitted on the training side."""
+    _, model = PR.fit_pca(embedded(spark, sf).where("split = 'train'"), 32)
     total, rows = 0.0, []
     for i, v in enumerate(model.explainedVariance.toArray()):
         total += float(v)
@@ -204,22 +247,20 @@ def explained_variance(spark, sf):
 
 @query("svd_lsa")
 def svd_lsa(spark, sf):
+    """All documents in the LSA space of the labelled ones: the fit sees no other row."""
     d = C.corpus(spark, sf)
     tr = d.where("label IS NOT NULL")
-    long = T.weigh(T.word_terms(d), T.fit_vocab(T.word_terms(tr), tr))
-    return NN.lsa(long, 20)[0]
+    long = cut_lineage(T.weigh(T.word_terms(d), T.fit_vocab(T.word_terms(tr), tr)))
+    model, _ = PR.fit_lsa(long.join(tr.select("doc_id"), "doc_id", "left_semi"), 20)
+    return model.project(long, d)
 
 
 @query("pca_knn")
 def pca_knn(spark, sf):
     """Two-neighbour vote after a projection fitted on the training side."""
     e = cut_lineage(embedded(spark, sf))
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = e.withColumn("f", array_to_vector("x"))
-    m = PCA(k=16, inputCol="f", outputCol="pc").fit(v.where("split = 'train'"))
-    z = cut_lineage(m.transform(v).select("id", "label", "split", vector_to_array("pc").alias("x")))
+    project, _ = PR.fit_pca(e.where("split = 'train'"), 16)
+    z = cut_lineage(project(e.select("id", "label", "split", "x")))
     nn = NN.knn_join(z.where("split = 'val'").select("id", "x"), z.where("split = 'train'").select("id", "x"), 2)
     return NN.vote(nn, z.select("id", "label"))
 
