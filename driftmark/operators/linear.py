@@ -17,14 +17,6 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, with_stats, written
 
-DIM = 1 << 18
-
-
-def hashed(long: DataFrame, dim=DIM) -> DataFrame:
-    """Column index of a term without a vocabulary on the driver."""
-    return long.withColumn("idx", F.pmod(F.xxhash64("block", "term"), F.lit(dim)).cast("int"))
-
-
 def column_index(long: DataFrame) -> DataFrame:
     """(block, term, idx): one column for each distinct term, counted from 0 in (block, term) order.
 
@@ -38,7 +30,7 @@ def column_index(long: DataFrame) -> DataFrame:
         F.col("_p"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
     inside = Window.partitionBy("_p").orderBy("block", "term")
     return written(at.join(offsets, "_p").select(
-        "block", "term", (F.col("_o") + F.row_number().over(inside) - 1).cast("int").alias("idx")), "index")
+        "block", "term", (F.col("_o") + F.row_number().over(inside) - 1).cast("long").alias("idx")), "index")
 
 
 def _sparse(dim):

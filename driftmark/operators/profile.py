@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +54,20 @@ def cohens_d(long):
 
 
 def pairwise_corr(df, columns):
-    """All pairs of a bounded column list as one aggregate row, then unpivoted."""
-    pairs = [(a, b) for i, a in enumerate(sorted(columns)) for b in sorted(columns)[i + 1:]]
-    clean = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
-    one = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), clean(F.col(f"`{i}`")).alias("corr"))
-        for i, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(cells).alias("c")).select("c.a", "c.b", "c.corr")
+    """Pearson correlation of all pairs of a column list (a, b, corr), 0 where a column is constant.
+
+    One aggregate over a vector of all columns (MLlib's correlation), however many there are; the matrix of columns x
+    columns is what comes back. Columns are centred first, so that large means don't cost digits. Null values count
+    as the column's mean.
+    """
+    names = sorted(columns)
+    if df.isEmpty() or len(names) < 2:
+        return df.sparkSession.createDataFrame([(a, b, 0.0) for i, a in enumerate(names) for b in names[i + 1:]], "a string, b string, corr double")
+    means = df.agg(*[F.avg(c).alias(c) for c in names]).first()
+    centred = F.array(*[F.coalesce(F.col(c).cast("double") - F.lit(float(means[c] or 0.0)), F.lit(0.0)) for c in names])
+    one = Correlation.corr(df.select(array_to_vector(centred).alias("v")), "v").first()[0].toArray()
+    cells = [(a, b, float(one[i, j]) if one[i, j] == one[i, j] else 0.0) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    return df.sparkSession.createDataFrame(cells, "a string, b string, corr double")
 
 
 def label_corr(long, label="label"):

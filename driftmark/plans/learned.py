@@ -20,6 +20,7 @@ from ..operators import ranks
 from ..operators import shift as H
 from ..operators import terms as T
 from ..operators import trees as R
+from ..operators.cache import cached
 from ..operators import bayes as B
 from ..session import cut_lineage, with_stats
 from ..sources import corpus as C
@@ -119,6 +120,27 @@ def split_gain(spark, sf):
     return R.split_gain(g)
 
 
+@query("split_gain_hist", f"""WITH {LONG14}, pr AS (SELECT avg(label) AS p FROM lf),
+rg AS (SELECT feature, min(value) AS a, max(value) AS b FROM lf GROUP BY feature),
+bn AS (SELECT feature, value, label, len(list_filter(range(1, 32), lambda i: a + (b - a) * i / 32.0::DOUBLE <= value)) AS bin FROM lf JOIN rg USING (feature)),
+v AS (SELECT feature, bin, sum(p - label) AS g, sum(p * (1 - p)) AS h, count(*) AS n, min(value) AS lo, max(value) AS hi FROM bn, pr GROUP BY ALL),
+c AS (SELECT feature, hi, lead(lo) OVER w AS nxt, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl,
+ sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht, sum(n) OVER (PARTITION BY feature) AS nt
+ FROM v WINDOW w AS (PARTITION BY feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT feature, round(gl * gl / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt * gt / (ht + 1), 6) AS gain, (hi + nxt) / 2 AS threshold, nl
+ FROM c WHERE nxt IS NOT NULL AND nl >= 20 AND nt - nl >= 20)
+SELECT feature, gain, {r('threshold', 'threshold')}, nl::BIGINT AS n_left FROM s WHERE gain > 0
+QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, threshold) = 1""")
+def split_gain_hist(spark, sf):
+    """Best split of each of the 14 style columns at the borders of 32 bins of equal width."""
+    lab = cut_lineage(P.melt(S.style14(C.labelled(spark, sf), keep=("doc_id", "label")), K.STYLE14, ("doc_id", "label")))
+    g = with_stats(lab, C.table(spark, sf, "labels").agg(F.avg("quality").alias("p")))
+    g = g.select("feature", "value", (F.col("p") - F.col("label")).alias("g"), (F.col("p") * (1 - F.col("p"))).alias("h"))
+    rg = lab.groupBy("feature").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda i: F.col("a") + (F.col("b") - F.col("a")) * i / F.lit(32.0))
+    return R.split_gain_hist(g, rg.select("feature", at.alias("cuts")), bins=32)
+
+
 # --- neighbours and centres -------------------------------------------------------------------
 
 E_SPLIT = """e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x, label FROM embeddings),
@@ -363,10 +385,9 @@ def oof_legs(spark, sf):
 
 @query("cache_oof")
 def cache_oof(spark, sf):
-    """Out-of-fold legs written once and read back for cheap searches."""
-    path = U.scratch(spark)
-    oof_legs(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+    """Out-of-fold legs, fitted once for these rows and found again by every later search."""
+    rows = C.corpus(spark, sf).select("doc_id", "text", "label")
+    return cached(spark, "oof-legs", {"corpus": rows}, {"legs": ["ridge", "logreg", "svm"], "folds": 3}, lambda: oof_legs(spark, sf))
 
 
 @query("greedy_diverse_models")

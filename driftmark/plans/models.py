@@ -13,8 +13,8 @@ from ..operators import metrics as M
 from ..operators import profile as P
 from ..operators import ranks
 from ..operators import terms as T
+from ..session import cut_lineage, with_stats
 from ..sources import corpus as C
-from ..session import with_stats
 from . import common as U
 from .registry import query, r
 from .styles import LONG14
@@ -190,9 +190,33 @@ def _mean(c, b):
     for b in L.BANK)} FROM corpus LEFT JOIN bs USING (doc_id) GROUP BY doc_id""")
 def ngram_logprob(spark, sf):
     """Mean log-probability of each document under the two class models, four n-gram kinds."""
-    docs = C.documents(spark, sf)
-    model = L.bank_model(L.bank_terms(C.labelled(spark, sf), LAB))
-    return L.bank_features(docs, L.bank_terms(docs), model)
+    docs = C.corpus(spark, sf)
+    terms = L.counted_bank(docs)
+    model = L.bank_model(terms.where("label IS NOT NULL"))
+    return L.bank_features(docs, terms.drop("label"), model)
+
+
+@query("ngram_logprob_cross", f"""WITH {_BANK_BLOCKS.split('bm0 AS (')[0]} sp AS (SELECT doc_id, label, label AS y FROM corpus WHERE label IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || doc_id), doc_id) - 1 AS rk, count(*) OVER (PARTITION BY y) AS n FROM sp),
+fo AS (SELECT doc_id, label, (CASE WHEN rk < (n // 5 + 1) * (n % 5) THEN rk // (n // 5 + 1)
+    ELSE n % 5 + (rk - (n // 5 + 1) * (n % 5)) // greatest(n // 5, 1) END)::INT AS fold FROM ranked),
+hs AS (SELECT DISTINCT fold AS held FROM fo),
+bm0 AS (SELECT held, block, term, coalesce(sum(cnt) FILTER (label = 0), 0) AS c0, coalesce(sum(cnt) FILTER (label = 1), 0) AS c1
+ FROM bt JOIN fo USING (doc_id), hs WHERE fold <> held GROUP BY ALL HAVING count(*) >= 3),
+bm AS (SELECT held, block, term, ln((c0 + 1.0) / (sum(c0) OVER w + count(*) OVER w)) AS lp0,
+ ln((c1 + 1.0) / (sum(c1) OVER w + count(*) OVER w)) AS lp1 FROM bm0 WINDOW w AS (PARTITION BY held, block)),
+bs AS (SELECT doc_id, bt.block AS block, sum(cnt) AS n, sum(cnt * lp0) AS s0, sum(cnt * lp1) AS s1
+ FROM bt JOIN fo USING (doc_id) JOIN bm ON bm.block = bt.block AND bm.term = bt.term AND bm.held = fo.fold GROUP BY ALL)
+SELECT doc_id, max(fold)::INT AS fold, {', '.join(
+    r(_mean(0, b), f'{b}_lp0') + ', ' + r(_mean(1, b), f'{b}_lp1') + ', ' + r(_mean(0, b) + ' - ' + _mean(1, b), f'{b}_llr')
+    for b in L.BANK)} FROM fo LEFT JOIN bs USING (doc_id) GROUP BY doc_id""")
+def ngram_logprob_cross(spark, sf):
+    """The same columns for the labelled documents, each under the model of the other folds (five, stratified)."""
+    folds = ranks.stratified_kfold(cut_lineage(C.labelled(spark, sf).select("doc_id", "label"))).select("doc_id", "label", "fold")
+    folds = cut_lineage(folds)
+    terms = cut_lineage(L.bank_terms(C.labelled(spark, sf)).join(folds, "doc_id"))
+    feats = L.bank_features(folds, terms, L.bank_model_cross(terms), on=("fold", "block", "term"))
+    return feats.join(folds.select("doc_id", "fold"), "doc_id")
 
 
 @query("llr_bank16")

@@ -6,6 +6,8 @@ from ..functions import constants as K
 from ..functions import style as S
 from ..functions import text as X
 from ..operators import ranks
+from ..operators.cache import cached
+from ..session import cut_lineage
 from ..sources import corpus as C
 from ..sources import sinks
 from . import common as U
@@ -72,10 +74,10 @@ def scan_preview(spark, sf):
 
 @query("cache_folds", f"WITH {U.LEGS}, {U.FOLDS} SELECT 'strat' AS lens, doc_id, fold FROM folded")
 def cache_folds(spark, sf):
-    path = U.scratch(spark)
-    folds = U.folded(spark, sf).select(F.lit("strat").alias("lens"), "doc_id", "fold")
-    sinks.write_folds(folds, path)
-    return spark.read.parquet(path).select("lens", "doc_id", "fold")
+    """Folds computed once for these rows and found again by every later call."""
+    rows = cut_lineage(U.scored(spark, sf).select("doc_id", "y"))
+    folds = lambda: ranks.stratified_kfold(rows, "y").select(F.lit("strat").alias("lens"), "doc_id", "fold")
+    return cached(spark, "folds", {"rows": rows}, {"lens": "strat", "k": 5, "seed": 42}, folds)
 
 
 @query("sink_predictions", f"WITH {U.LEGS} SELECT doc_id, (p_a >= 0.5)::INT AS label FROM legs WHERE y IS NULL")

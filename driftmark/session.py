@@ -36,15 +36,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """This application's folder for intermediate tables, in storage that all executors share.
+def shared_base(spark: SparkSession) -> str:
+    """Storage that all executors share: ``spark.checkpoint.dir``; where it is unset (tests, a plain local
+    session) the checkpoint folder set on the context, else the SQL warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
-    ``spark.checkpoint.dir`` names the place. Where it is unset (tests, a plain local session) the
-    checkpoint folder set on the context is taken, else the SQL warehouse.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/driftmark-{sc.applicationId}"
+
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables."""
+    return f"{shared_base(spark)}/driftmark-{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, name="t") -> str:
