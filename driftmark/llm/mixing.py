@@ -61,7 +61,8 @@ def mixed(docs: DataFrame, key="doc_id", source="source", text="text", **options
     """The mix itself: the columns of ``docs`` once per epoch, with ``mix_epoch`` and ``mix_words``.
 
     Documents without words are in no epoch. The one document cut at a source's budget keeps its first
-    ``mix_words`` words (and its n_chars, where there is one, follows).
+    ``mix_words`` words (and its n_chars, where there is one, follows). Columns of these two names that ``docs`` has
+    already (the mix of a mix) give way to the new ones.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(C.WORD)), F.lit(0)).cast("long")
     plan = mix(docs, key=key, source=source, text=text, **options).where("taken > 0").select(
@@ -69,13 +70,14 @@ def mixed(docs: DataFrame, key="doc_id", source="source", text="text", **options
         F.col("taken").alias("__dm_taken")).distinct()
     rows = docs.withColumn("__dm_n", size)
     on = F.col(key).eqNullSafe(F.col("__dm_id")) & F.col(source).eqNullSafe(F.col("__dm_source")) & (F.col("__dm_n") == F.col("__dm_size"))
-    rows = rows.join(plan, on).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.expr("cast((__dm_taken - 1) div __dm_size as int)"))))
-    rows = rows.withColumn("mix_words", F.least(F.col("__dm_size"), F.col("__dm_taken") - F.col("mix_epoch") * F.col("__dm_size")))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + C.WORD), F.lit(0)), F.lit(1), F.col("mix_words").cast("int")), "")
-    rows = rows.withColumn(text, F.when(F.col("mix_words") < F.col("__dm_size"), head).otherwise(F.col(text)))
+    rows = rows.join(plan, on).withColumn("__dm_epoch", F.explode(F.sequence(F.lit(0), F.expr("cast((__dm_taken - 1) div __dm_size as int)"))))
+    rows = rows.withColumn("__dm_words", F.least(F.col("__dm_size"), F.col("__dm_taken") - F.col("__dm_epoch") * F.col("__dm_size")))
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + C.WORD), F.lit(0)), F.lit(1), F.col("__dm_words").cast("int")), "")
+    rows = rows.withColumn(text, F.when(F.col("__dm_words") < F.col("__dm_size"), head).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("mix_words") < F.col("__dm_size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns, "mix_epoch", "mix_words")
+        rows = rows.withColumn("n_chars", F.when(F.col("__dm_words") < F.col("__dm_size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    own = [c for c in docs.columns if c not in ("mix_epoch", "mix_words")]
+    return rows.select(*own, F.col("__dm_epoch").alias("mix_epoch"), F.col("__dm_words").alias("mix_words"))
 
 
 #: What the operator returns under its default parameters.

@@ -13,11 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import new_folder
+from ..session import new_folder, with_stats
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of payload to a range of ids, and the most ranges: a range is written by one task.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 10_000
 MANIFEST = "file string, records bigint, bytes bigint, sha1 string"
 
 
@@ -92,7 +94,7 @@ class _Shard:
 
 
 def write(pages: DataFrame, folder: str, roll_bytes=64 << 20, least=1000, date="1970-01-01T00:00:00Z", level=6,
-          key="page_id", url="url", payload="html") -> DataFrame:
+          key="page_id", url="url", payload="html", range_bytes=RANGE_BYTES) -> DataFrame:
     """Write one record per row to ``folder`` (a URI that all executors reach); the manifest as a DataFrame.
 
     Of equal payloads of at least ``least`` bytes, the row with the largest id is the response and the rest
@@ -102,8 +104,13 @@ def write(pages: DataFrame, folder: str, roll_bytes=64 << 20, least=1000, date="
     their name by a rename, and count only once the manifest lists them: Spark commits that table when all
     tasks have ended, and files of lost attempts are in no manifest.
 
+    Equal tables give equal files, in any session and from any layout: the ranges of ids are as many as the payloads
+    hold ``range_bytes``, and their cut points come from a sample drawn by the hash of (id, digest), about twenty a
+    range. Cut points are one array of at most ``MOST_RANGES`` entries, in which the rows find their place in the JVM.
+
     Null payloads are empty, null ids and URLs leave out their header; a row with a null id may revisit but is
-    never referred to. Rows that share the largest id are all responses. An empty table gives no files.
+    never referred to. Rows that share the largest id are all responses. An empty table gives no files. Only id, URL
+    and payload are read, so other columns may have any name.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     of = lambda c, name: F.col(c).alias(name)
@@ -115,7 +122,18 @@ def write(pages: DataFrame, folder: str, roll_bytes=64 << 20, least=1000, date="
     both = pages.select(of(key, "page"), F.sha1(body).alias("digest"), F.lit(1).alias("tag"), F.col(url).cast("string").alias("url"), body.alias("body"),
                         F.lit(None).cast(kind).alias("refers")).unionByName(
         again.select("page", "digest", F.lit(0).alias("tag"), "refers"), allowMissingColumns=True)
-    ranged = both.repartitionByRange("page", "digest").sortWithinPartitions("page", "digest", "tag", "url")
+    size, total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = min(MOST_RANGES, max(1, -(-size // range_bytes)))
+    at = F.struct(F.col("page").isNotNull().alias("full"), "page", "digest")
+    drawn = narrow.where(F.pmod(F.xxhash64("page", "digest"), F.lit(1 << 40)) < F.lit(min(1 << 40, (20 * ranges << 40) // max(1, total)))).select(at.alias("at")).distinct()
+    cuts = drawn.agg(F.sort_array(F.collect_list("at")).alias("all")).select(F.transform(
+        F.sequence(F.lit(1), F.lit(ranges)), lambda i: F.get("all", (F.floor(i * F.size("all") / ranges) - 1).cast("int"))).alias("cuts"))
+    cuts = cuts.select(F.array_distinct(F.filter("cuts", lambda x: x.isNotNull())).alias("cuts"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(int(ranges).bit_length()))])
+    # the number of cuts below the row, by halving
+    place = F.aggregate(steps, F.lit(0), lambda p, step: F.when(F.get("cuts", p + step - 1) < F.col("at"), p + step).otherwise(p))
+    placed = with_stats(both.withColumn("at", at), cuts).withColumn("_p", place).drop("at", "cuts")
+    ranged = placed.repartitionById(int(ranges) + 1, "_p").sortWithinPartitions("page", "digest", "tag", "url").drop("_p")
     names = [x.split()[0] for x in MANIFEST.split(", ")]
 
     def run(batches):
@@ -208,11 +226,17 @@ def read_back(manifest: DataFrame, folder: str, key_type, payloads=False) -> Dat
                       F.col("refers").cast(key_type).alias("refers_to"), *(["payload"] if payloads else []))
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder as a URI; without a scheme it lies in Spark's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def archive(pages: DataFrame, folder=None, payloads=False, **options) -> DataFrame:
     """Write all pages to ``folder`` (default: a new one in the work folder) and read the archives back."""
     folder = folder or new_folder(pages.sparkSession, "warc")
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
+    folder = qualified(pages.sparkSession, folder)
     kind = pages.schema[options.get("key", "page_id")].dataType
     return read_back(write(pages, folder, **options), folder, kind, payloads)
 
