@@ -186,6 +186,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate=ERROR_RATE, key="doc_id", item
     blocks of about ``block_chars`` characters, one pass over the documents each, and only a block is ever
     on the driver. Items with one normalised text are searched once and reported each. Null and empty texts
     and items have no match; null ids are reported as null; repeated documents are each reported.
+    An empty table on either side gives no rows. Only ids and texts are read, so other columns may have any name.
     """
     spark = docs.sparkSession
     plain = F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " "))

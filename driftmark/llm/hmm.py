@@ -260,7 +260,8 @@ def scores(docs: DataFrame, held, key="doc_id", text="text", states=STATES, roun
     come from the rows that are not ``held`` (a boolean column expression).
 
     Null and empty texts have the end alone; null ids keep their row; repeated rows count and score each;
-    without training texts both scores follow from empty counts.
+    without training texts both scores follow from empty counts. An empty table gives no rows. Only id, text and what
+    ``held`` names are read, so other columns may have any name.
     """
     coded, words = encoded(docs, held, key, text)
     ends = coded.where(~F.col("held")).count()

@@ -275,7 +275,7 @@ def identified(docs: DataFrame, key="doc_id", **options) -> DataFrame:
     """Languages of all rows, learned from those with a language that are not held out.
 
     Null ids are not held out; repeated rows are each predicted; without any labelled text every row is und
-    and rejected. Other columns are not read."""
+    and rejected. An empty table gives no rows. Other columns are not read, so they may have any name."""
     fitted = fit(docs.where(~held_out(key)), key=key, **options)
     return predict(docs, fitted, (key,)).withColumn("held_out", held_out(key))
 

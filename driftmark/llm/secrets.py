@@ -141,6 +141,7 @@ def secret_spans(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
 
     Null and empty texts have none, null ids are kept, each of repeated rows is searched. Spans of different
     kinds may overlap, those of one kind never do. Texts of any length are searched whole, in linear time.
+    An empty table gives no rows. Only id and text are read, so other columns may have any name.
     """
     rank = {k: i for i, k in enumerate([p[0] for p in PATTERNS] + list(KINDS))}
 

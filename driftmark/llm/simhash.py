@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", width=4, errors=
 
     Texts without words have fingerprint zero and link like others (so do null texts). Null ids keep their
     row and never name a component that has another id; repeated rows are repeated in the result.
+    An empty table gives no rows. Only id and text are read, so other columns may have any name.
     """
     prints = written(fingerprints(docs, key, text, width), "prints")
     return prints.join(groups_of(prints, key, errors, **options), "fp").select(

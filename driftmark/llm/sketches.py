@@ -191,7 +191,7 @@ def edit_table(docs: DataFrame, key="doc_id", text="text", fraction=FRACTION) ->
     text's and with the next document's.
 
     Null texts are empty and have an empty fingerprint; a lone document is followed by itself; repeated rows
-    follow each other; an empty table gives no rows.
+    follow each other; an empty table gives no rows. Only id and text are read, so other columns may have any name.
     """
     kept: list = [None, None]  # the text last seen as the following one, and its sketch
 

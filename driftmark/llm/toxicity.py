@@ -341,7 +341,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, key="doc_id", label="toxic", te
     """Scores of all rows of ``docs``, learned from the labelled rows that are not held out.
 
     Null ids match no label and are not held out; a document that is labelled twice learns once per label;
-    only id and text are read.
+    only id and text are read, so other columns may have any name. Without labels all scores are 0; an empty table of
+    documents gives no rows.
     """
     marks = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("label")).where(~held_out("_id") & F.col("label").isNotNull())
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
