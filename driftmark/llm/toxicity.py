@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ E_VALUE = 0.3
 BROADCAST_ROWS = 500_000
 #: Rows and bytes of text that share a dictionary; bounds the tasks that join them with the counts.
 CHUNK_ROWS, CHUNK_BYTES = 16_384, 12 << 20
+#: Words of chunks in a range, ranges at most (their cut points go to every task), marks of a chunk, marks that are cut.
+RANGE_WORDS, MOST_RANGES, MARKS, MARK_SAMPLE = 1_500_000, 20_000, 64, 200_000
 _BINS = np.concatenate((np.arange(0, 4, 0.25), np.arange(4, 20, 0.5), np.arange(20, 100, 5), [1e300]))
 
 
@@ -59,11 +64,55 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * k, start), size
 
 
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Integer and float arrays as one compressed value; ``loosened`` gives them back."""
+    parts = [np.array([len(x) for x in arrays], np.int64).tobytes()]
+    for x in arrays:  # bytes of equal weight lie together
+        parts.append(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"")
+    return zstandard.compress(b"".join(parts), 3)
+
+
+def loosened(value: bytes, *types) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.decompress(value), np.uint8)
+    sizes = data[:8 * len(types)].view(np.int64)
+    out, at = [], 8 * len(types)
+    for n, t in zip(sizes.tolist(), types):
+        width = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(data[at:at + n * width].reshape(width, n).T).view(t).ravel())
+        at += n * width
+    return out
+
+
+def _letters(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and bytes of strings without nulls."""
+    s = strings.cast(pa.large_binary())
+    ends = np.frombuffer(s.buffers()[1], np.int64)[s.offset:s.offset + len(s) + 1] if len(s) else np.zeros(1, np.int64)
+    data = np.frombuffer(s.buffers()[2], np.uint8)[ends[0]:ends[-1]] if len(s) and s.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return np.diff(ends).astype(np.int32), data
+
+
+def _strings(length: np.ndarray, data: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+    return pa.Array.from_buffers(pa.large_string(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+#: Values that a chunk's words, its counts and its words' priors are kept as, see ``squeezed``.
+WORDS = (np.int32, np.uint8)
+RANGED = (np.int32, np.uint8, np.int32)
+COUNTS = (np.int32, np.uint8, np.uint8, np.int32, np.int32)
+PRIORS = (np.int32, np.float32, np.int32, np.int32)
+
+
 def encoded(docs: DataFrame, key="doc_id", text="text") -> tuple[DataFrame, DataFrame]:
-    """Texts as codes of their chunk's words (frequent ones have short codes), and the words (chunk, token, code)."""
+    """Texts as codes of their chunk's words, and per chunk its words in code order (chunk, tokens, n, marks).
+
+    Frequent words have the shorter codes; words whose codes are equally long are in order, so that a chunk's words
+    compress well. ``marks`` are evenly spaced words of the chunk, from which ranges are cut.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    out = StructType([StructField("id", docs.schema[key].dataType), *_parse_datatype_string("kind int, chunk bigint, codes binary, token string, code int").fields])
+    out = StructType([StructField("id", docs.schema[key].dataType), *_parse_datatype_string(
+        "kind int, chunk bigint, codes binary, tokens binary, n int, marks array<string>").fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out)
@@ -74,38 +123,82 @@ def encoded(docs: DataFrame, key="doc_id", text="text") -> tuple[DataFrame, Data
 
     def run(batches):
         part, count = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for b in C.slices(whole, 1, CHUNK_ROWS, CHUNK_BYTES):
-                chunk = (part << 24) + count
-                count += 1
-                words, at = C.words_of(pc.utf8_lower(b.column(1).cast(pa.string())), lower=False)
-                code, distinct = C.coded(_stripped(words))
-                order = np.argsort(-np.bincount(code, minlength=len(distinct)), kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                yield batch(b.num_rows, id=b.column(0), kind=pa.array(np.zeros(b.num_rows, np.int32)),
-                            chunk=pa.array(np.full(b.num_rows, chunk)), codes=packed(rank[code], at, b.num_rows))
-                if len(distinct):
-                    yield batch(len(distinct), kind=pa.array(np.ones(len(distinct), np.int32)), chunk=pa.array(np.full(len(distinct), chunk)),
-                                token=distinct.take(pa.array(order)), code=pa.array(np.arange(len(distinct), dtype=np.int32)))
+        for b in C.gathered(batches, 1, CHUNK_BYTES, CHUNK_ROWS):
+            chunk = (part << 24) + count
+            count += 1
+            words, at = C.words_of(pc.utf8_lower(b.column(1).combine_chunks().cast(pa.string())), lower=False)
+            code, distinct = C.coded(_stripped(words))
+            often = np.argsort(-np.bincount(code, minlength=len(distinct)), kind="stable")
+            place = np.empty(len(often), np.int64)
+            place[pc.sort_indices(distinct).to_numpy()] = np.arange(len(often))
+            width = np.searchsorted([1 << 7, 1 << 14, 1 << 21, 1 << 28], np.arange(len(often)), side="right")
+            order = often[np.lexsort((place[often], width))]
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            yield batch(b.num_rows, id=b.column(0).combine_chunks(), kind=pa.array(np.zeros(b.num_rows, np.int32)),
+                        chunk=pa.array(np.full(b.num_rows, chunk)), codes=packed(rank[code], at, b.num_rows))
+            if len(distinct):
+                by_name = np.argsort(place)
+                some = np.unique(np.linspace(0, len(distinct) - 1, MARKS).astype(np.int64))
+                yield batch(1, kind=pa.array([1]), chunk=pa.array([chunk]), tokens=pa.array([squeezed(*_letters(distinct.take(pa.array(order))))], pa.binary()),
+                            n=pa.array([len(distinct)]), marks=pa.array([distinct.take(pa.array(by_name[some])).to_pylist()]))
 
     folder = new_folder(spark, "encoded")
     rows.mapInArrow(run, out).write.partitionBy("kind").parquet(folder)
     read = lambda: spark.read.schema(out).parquet(folder)
-    return read().where("kind = 0").select("chunk", "id", "codes"), read().where("kind = 1").select("chunk", "token", "code")
+    return read().where("kind = 0").select("chunk", "id", "codes"), read().where("kind = 1").select("chunk", "tokens", "n", "marks")
+
+
+def word_table(words: DataFrame) -> DataFrame:
+    """(chunk, token, code) of every chunk's words."""
+    def run(batches):
+        for b in batches:
+            for chunk, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = _strings(*loosened(tokens, *WORDS)).cast(pa.string())
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(s), chunk)), "token": s, "code": pa.array(np.arange(len(s), dtype=np.int32))})
 
+    return words.select("chunk", "tokens").mapInArrow(run, "chunk bigint, token string, code int")
+
+
+def cut_points(words: DataFrame, size=None) -> list[bytes]:
+    """Words at which the ranges after the first begin, each range for about ``size`` words of chunks.
+
+    Cut from a hash-drawn sample of the chunks' marks. They only place the work: every range count gives the same priors.
+    """
+    total = words.agg(F.sum("n")).first()[0] or 0
+    ranges = min(-(-total // (size or RANGE_WORDS)), MOST_RANGES)
+    if ranges < 2:
+        return []
+    marks = words.select("chunk", F.explode("marks").alias("m")).orderBy(F.xxhash64("m", "chunk"), "m", "chunk").limit(MARK_SAMPLE)
+    found = sorted(r[0].encode() for r in marks.select("m").collect())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)})
+
+
+def _ranges(strings: pa.Array, cuts: list[bytes]) -> tuple[list[int], list[bytes]]:
+    """Where each range begins and ends in sorted strings, and the strings."""
+    held = strings.cast(pa.large_binary()).to_pylist()
+    return [0, *(bisect_left(held, c) for c in cuts), len(held)], held
+
+
+def counted(train: DataFrame, words: DataFrame, cuts=()) -> DataFrame:
+    """(range, counts): per chunk and range, training texts, and toxic ones, that hold a word, or a word that starts
+    with a string. A start has as many letters as its level; a shorter word counts at that level as itself.
+
+    A start sorts before all words that begin with it. Those may lie in later ranges: the starts of a range's
+    cut point (six at most) are handed on to that range as well, so that no start is a join key.
+    """
+    cuts = list(cuts)
 
-def counted(train: DataFrame, words: DataFrame) -> DataFrame:
-    """(whole, string, n, toxic): training texts, and toxic ones, that hold the word (whole), or a word that starts
-    with the string. A start has as many letters as its level; a shorter word counts at that level as itself."""
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"range": pa.array([], pa.int64()), "counts": pa.array([], pa.binary())})
         code, size = unpacked(left.column("codes").combine_chunks())
-        token = right.column("token").cast(pa.string()).combine_chunks().take(pa.array(np.argsort(right.column("code").to_numpy())))
+        token = _strings(*loosened(right.column("tokens")[0].as_py(), *WORDS))
         y = left.column("label").to_numpy().astype(np.int64)
         pair = np.unique(np.repeat(np.arange(len(size)), size) * np.int64(max(1, len(token))) + code)
         doc, word = pair // max(1, len(token)), pair % max(1, len(token))
         length = pc.utf8_length(token).to_numpy(zero_copy_only=False)
-        got = []
+        strings, whole, ns, toxics = [], [], [], []
         for level in LEVELS:
             start, distinct = C.coded(pc.utf8_slice_codeunits(token, 0, level) if level else token)
             full = length[word] >= level
@@ -113,12 +206,62 @@ def counted(train: DataFrame, words: DataFrame) -> DataFrame:
             of, at = own // max(1, len(distinct)), own % max(1, len(distinct))
             n, toxic = np.bincount(at, minlength=len(distinct)), np.bincount(at, y[of], len(distinct))
             held = np.flatnonzero(n)
-            got.append(pa.table({"whole": pa.array(np.full(len(held), level == 0)), "string": distinct.take(pa.array(held)),
-                                 "n": pa.array(n[held]), "toxic": pa.array(toxic[held].astype(np.int64))}))
-        return pa.concat_tables(got)
+            strings.append(distinct.take(pa.array(held)).cast(pa.large_string()))
+            whole.append(np.full(len(held), level == 0, np.uint8))
+            ns.append(n[held].astype(np.int32))
+            toxics.append(toxic[held].astype(np.int32))
+        s, whole, ns, toxics = pa.concat_arrays(strings), np.concatenate(whole), np.concatenate(ns), np.concatenate(toxics)
+        order = pc.sort_indices(s).to_numpy()
+        s, whole, ns, toxics = s.take(pa.array(order)), whole[order], ns[order], toxics[order]
+        ends, names = _ranges(s, cuts)
+        out = {"range": [], "counts": []}
+        for r in range(len(cuts) + 1):
+            handed = []
+            for level in LEVELS[:-1] if r else ():
+                start = cuts[r - 1].decode()[:level].encode()
+                i = bisect_left(names, start)
+                while start != cuts[r - 1] and i < ends[r] and names[i] == start:
+                    handed += [i] if not whole[i] else []
+                    i += 1
+            rows = np.unique(np.concatenate((np.array(handed, np.int64), np.arange(ends[r], ends[r + 1]))))
+            if len(rows):
+                # 2: a start that another range has as its own
+                kind = np.where(rows < ends[r], 2, whole[rows]).astype(np.uint8)
+                out["range"].append(r)
+                out["counts"].append(squeezed(*_letters(s.take(pa.array(rows))), kind, ns[rows], toxics[rows]))
+        return pa.table({"range": pa.array(out["range"], pa.int64()), "counts": pa.array(out["counts"], pa.binary())})
+
+    return train.groupBy("chunk").cogroup(words.select("chunk", "tokens").groupBy("chunk")).applyInArrow(count, "range bigint, counts binary")
+
+
+def count_table(counts: DataFrame) -> DataFrame:
+    """(whole, string, n, toxic) over all chunks."""
+    def run(batches):
+        for b in batches:
+            for value in b.column(0).to_pylist():
+                length, data, kind, n, toxic = loosened(value, *COUNTS)
+                own = pa.array(kind < 2)
+                yield pa.RecordBatch.from_pydict({"whole": pa.array(kind == 1), "string": _strings(length, data).cast(pa.string()),
+                                                  "n": pa.array(n.astype(np.int64)), "toxic": pa.array(toxic.astype(np.int64))}).filter(own)
+
+    parts = counts.select("counts").mapInArrow(run, "whole boolean, string string, n bigint, toxic bigint")
+    return parts.groupBy("whole", "string").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+def _in_ranges(words: DataFrame, cuts: list[bytes]) -> DataFrame:
+    """(range, chunk, tokens): each chunk's words by range, with their codes."""
+    def run(batches):
+        for b in batches:
+            for chunk, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = _strings(*loosened(tokens, *WORDS))
+                order = pc.sort_indices(s).to_numpy()
+                s = s.take(pa.array(order))
+                ends, _ = _ranges(s, cuts)
+                held = [r for r in range(len(cuts) + 1) if ends[r] < ends[r + 1]]
+                values = [squeezed(*_letters(s.slice(ends[r], ends[r + 1] - ends[r])), order[ends[r]:ends[r + 1]].astype(np.int32)) for r in held]
+                yield pa.RecordBatch.from_pydict({"range": pa.array(held, pa.int64()), "chunk": pa.array([chunk] * len(held), pa.int64()), "tokens": pa.array(values, pa.binary())})
 
-    parts = train.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(count, "whole boolean, string string, n bigint, toxic bigint")
-    return written(parts.groupBy("whole", "string").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "counts")
+    return words.select("chunk", "tokens").mapInArrow(run, "range bigint, chunk bigint, tokens binary")
 
 
 class Model:
@@ -129,25 +272,50 @@ class Model:
         self.decay, self.rate = 1.0, 1.0
         self.levels = None
 
-    def priors(self, words: DataFrame, counts: DataFrame) -> DataFrame:
-        """(chunk, code, prior, n, toxic) of the words that a count bears on: what the word's starts say of the share
-        of toxic texts, and the word's own texts.
+    def priors(self, words: DataFrame, counts: DataFrame, cuts=()) -> DataFrame:
+        """(chunk, priors): code, prior, n and toxic of the chunk's words that a count bears on: what the word's starts
+        say of the share of toxic texts, and the word's own texts.
 
         Each level is a binomial under a Dirichlet prior whose mean is the level before, and counts what the next
-        one does not, so no document counts twice.
+        one does not, so no document counts twice. Words and counts meet by range; a range holds all starts of its words.
         """
-        starts = [F.struct(F.lit(n).alias("level"), (F.lit(n == 0)).alias("whole"), (F.substring("token", 1, n) if n else F.col("token")).alias("string")) for n in LEVELS]
-        parts = words.select("token").distinct().select("token", F.explode(F.filter(F.array(*starts), lambda x: F.length(x["string"]) >= x["level"])).alias("x")).select("token", "x.*")
-        of = lambda c, n: F.coalesce(F.max(F.when(F.col("level") == n, F.col(c))), F.lit(0))
-        found = parts.join(counts, ["whole", "string"]).groupBy("token").agg(*[of(c, n).alias(f"_{c}{n}") for c in ("n", "toxic") for n in LEVELS])
-        # a level of more letters than the word has holds the word alone
-        at = lambda c, n: F.when(F.length("token") < n, F.col(f"_{c}0")).otherwise(F.col(f"_{c}{n}"))
-        p = F.lit(float(self.base))
-        for level, after in zip(LEVELS, LEVELS[1:]):
-            n, t = (F.greatest(at(c, level) - at(c, after), F.lit(0)) for c in ("n", "toxic"))
-            p = (F.least(t, n) + F.lit(PRIOR) * p) / (n + F.lit(PRIOR))
-        found = found.select("token", p.alias("prior"), F.col("_n0").alias("n"), F.col("_toxic0").alias("toxic"))
-        return written(words.join(found, "token").select("chunk", "code", "prior", "n", "toxic"), "priors")
+        base = float(self.base)
+
+        def prior(left: pa.Table, right: pa.Table) -> pa.Table:
+            empty = pa.table({"chunk": pa.array([], pa.int64()), "priors": pa.array([], pa.binary())})
+            if not left.num_rows or not right.num_rows:
+                return empty
+            parts = [loosened(x, *COUNTS) for x in left.column("counts").to_pylist()]
+            table = pa.table({"whole": np.concatenate([p[2] for p in parts]) == 1, "string": pa.concat_arrays([_strings(*p[:2]) for p in parts]),
+                              "n": np.concatenate([p[3] for p in parts]).astype(np.int64), "toxic": np.concatenate([p[4] for p in parts]).astype(np.int64)})
+            table = table.group_by(["whole", "string"]).aggregate([("n", "sum"), ("toxic", "sum")])
+            held = [loosened(x, *RANGED) for x in right.column("tokens").to_pylist()]
+            of, token = C.coded(pa.concat_arrays([_strings(*x[:2]) for x in held]))
+            length = pc.utf8_length(token).to_numpy(zero_copy_only=False)
+            found = {}
+            for level in reversed(LEVELS):
+                known = table.filter(pc.equal(table["whole"], level == 0))
+                at = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(token, 0, level) if level else token, known["string"].combine_chunks()), -1).to_numpy()
+                n, t = (np.append(known[c].to_numpy(), 0)[at] for c in ("n_sum", "toxic_sum"))
+                if level:  # a level of more letters than the word has holds the word alone
+                    n, t = (np.where(length < level, w, x) for w, x in zip(found[0], (n, t)))
+                found[level] = n, t
+            p = np.full(len(token), base)
+            for (n, t), (m, u) in zip([found[x] for x in LEVELS], [found[x] for x in LEVELS[1:]]):
+                n, t = np.maximum(n - m, 0), np.maximum(t - u, 0)
+                p = (np.minimum(t, n) + PRIOR * p) / (n + PRIOR)
+            known = np.any([n > 0 for n, _ in found.values()], axis=0)
+            out, at = [], 0
+            for x in held:
+                mine = of[at:at + len(x[2])]
+                at += len(x[2])
+                some = known[mine]
+                mine = mine[some]
+                out.append(squeezed(x[2][some], p[mine].astype(np.float32), found[0][0][mine].astype(np.int32), found[0][1][mine].astype(np.int32)))
+            return pa.table({"chunk": right.column("chunk"), "priors": pa.array(out, pa.binary())})
+
+        met = counts.groupBy("range").cogroup(_in_ranges(words, list(cuts)).groupBy("range"))
+        return written(met.applyInArrow(prior, "chunk bigint, priors binary"), "priors")
 
     def log_odds(self, prior: np.ndarray, n: np.ndarray, toxic: np.ndarray, own=None) -> np.ndarray:
         """Log-odds of words over the base. ``own`` (a 0/1 label per row) takes the row's own document out of the
@@ -190,10 +358,11 @@ def _scored(model: Model, codes: pa.Array, right: pa.Table, own=None):
     code, size = unpacked(codes)
     most = int(code.max()) + 1 if len(code) else 0
     prior, n, toxic = np.full(most, model.base), np.zeros(most), np.zeros(most)
-    place = right.column("code").to_numpy()
-    known = place < most
-    for x, c in ((prior, "prior"), (n, "n"), (toxic, "toxic")):
-        x[place[known]] = right.column(c).to_numpy()[known]
+    for value in right.column("priors").to_pylist():
+        place, *cols = loosened(value, *PRIORS)
+        known = place < most
+        for x, c in zip((prior, n, toxic), cols):
+            x[place[known]] = c[known]
     whole = model.log_odds(prior, n, toxic)
     out, a = [], 0
     for i, k in enumerate(size.tolist()):
@@ -268,7 +437,8 @@ def fit(train: DataFrame, words: DataFrame) -> tuple[Model, DataFrame] | None:
     if not by:
         return None
     model = Model(sum(by.values()), by.get(1, 0))
-    priors = model.priors(words, counted(train, words))
+    cuts = cut_points(words)
+    priors = model.priors(words, counted(train, words, cuts), cuts)
     ddl = "label int, n_words bigint, scores array<double>"
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -480,17 +480,24 @@ def test_word_counts_are_exact(spark):
     docs = spark.createDataFrame(rows, "id long, text string, label int").repartition(5)
     coded, terms = toxicity.encoded(docs, "id")
     train = coded.join(docs.select("id", "label"), "id").select("chunk", "label", "codes")
-    counts = toxicity.counted(train, terms)
+    cuts = toxicity.cut_points(terms, 500)
+    assert len(cuts) > 3
+    counts = toxicity.counted(train, terms, cuts)
     want = {}
     for _, t, y in rows:
         held = set(t.split())
         for key in {(True, w) for w in held} | {(False, w[:n]) for w in held for n in range(3, 9) if len(w) >= n}:
             n, toxic = want.get(key, (0, 0))
             want[key] = (n + 1, toxic + y)
-    assert {(r["whole"], r["string"]): (r["n"], r["toxic"]) for r in rows_of(counts)} == want and len(want) > 40_000
+    assert {(r["whole"], r["string"]): (r["n"], r["toxic"]) for r in rows_of(toxicity.count_table(counts))} == want and len(want) > 40_000
     model = toxicity.Model(300, 100)
-    tokens = {(r["chunk"], r["code"]): r["token"] for r in rows_of(terms)}
-    got = {tokens[r["chunk"], r["code"]]: (r["prior"], r["n"], r["toxic"]) for r in rows_of(model.priors(terms, counts))}
+    tokens = {(r["chunk"], r["code"]): r["token"] for r in rows_of(toxicity.word_table(terms))}
+    got, found = {}, rows_of(model.priors(terms, counts, cuts))
+    for r in found:
+        for code, *x in zip(*(c.tolist() for c in toxicity.loosened(r["priors"], *toxicity.PRIORS))):
+            assert got.setdefault(tokens[r["chunk"], code], tuple(x)) == tuple(x)
+    one = {tokens[r["chunk"], c] for r in rows_of(model.priors(terms, toxicity.counted(train, terms))) for c in toxicity.loosened(r["priors"], *toxicity.PRIORS)[0].tolist()}
+    assert one == set(got)  # one range or many
     assert set(got) == set(tokens.values())
     for w in sorted(got)[::50]:
         of = [want[(n == 0 or len(w) < n, w if n == 0 else w[:n])] for n in toxicity.LEVELS]
