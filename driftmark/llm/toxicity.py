@@ -27,7 +27,7 @@ BROADCAST_ROWS = 500_000
 #: Rows and bytes of text that share a dictionary; bounds the tasks that join them with the counts.
 CHUNK_ROWS, CHUNK_BYTES = 16_384, 12 << 20
 #: Words of chunks in a range, ranges at most (their cut points go to every task), marks of a chunk, marks that are cut.
-RANGE_WORDS, MOST_RANGES, MARKS, MARK_SAMPLE = 1_500_000, 20_000, 64, 200_000
+RANGE_WORDS, MOST_RANGES, MARKS, MARK_SAMPLE = 500_000, 20_000, 64, 200_000
 _BINS = np.concatenate((np.arange(0, 4, 0.25), np.arange(4, 20, 0.5), np.arange(20, 100, 5), [1e300]))
 
 
@@ -142,6 +142,7 @@ def encoded(docs: DataFrame, key="doc_id", text="text") -> tuple[DataFrame, Data
                 some = np.unique(np.linspace(0, len(distinct) - 1, MARKS).astype(np.int64))
                 yield batch(1, kind=pa.array([1]), chunk=pa.array([chunk]), tokens=pa.array([squeezed(*_letters(distinct.take(pa.array(order))))], pa.binary()),
                             n=pa.array([len(distinct)]), marks=pa.array([distinct.take(pa.array(by_name[some])).to_pylist()]))
+            pa.default_memory_pool().release_unused()
 
     folder = new_folder(spark, "encoded")
     rows.mapInArrow(run, out).write.partitionBy("kind").parquet(folder)
@@ -174,9 +175,22 @@ def cut_points(words: DataFrame, size=None) -> list[bytes]:
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)})
 
 
-def _ranges(strings: pa.Array, cuts: list[bytes]) -> tuple[list[int], list[bytes]]:
+class Names:
+    """Sorted strings as bytes, each made when it is looked at."""
+
+    def __init__(self, strings: pa.Array):
+        self.held = strings.cast(pa.large_binary())
+
+    def __len__(self):
+        return len(self.held)
+
+    def __getitem__(self, i):
+        return self.held[i].as_py()
+
+
+def _ranges(strings: pa.Array, cuts: list[bytes]) -> tuple[list[int], Names]:
     """Where each range begins and ends in sorted strings, and the strings."""
-    held = strings.cast(pa.large_binary()).to_pylist()
+    held = Names(strings)
     return [0, *(bisect_left(held, c) for c in cuts), len(held)], held
 
 
