@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,10 +15,9 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from ..session import new_folder, written
 from . import common as C
 
-#: Hidden states; words with a class of their own; classes of the other words (by their last two characters).
-STATES, OWN, TAIL = 8, 2000, 1024
-#: Classes: 0 the end of a text, 1 to OWN the most frequent words, then TAIL.
-CLASSES = 1 + OWN + TAIL
+#: Hidden states; a word of count c has a class of its own where (OWN * c)^2 is at least the number of training tokens N,
+#: so at most OWN * sqrt(N) words have one; the others share about sqrt(N) classes by their last letters.
+STATES, OWN, ENDING = 16, 32, 3
 #: Baum-Welch rounds over the start sample and over all training texts; texts of the start sample.
 SAMPLE_ROUNDS, ROUNDS, START_TEXTS = 15, 3, 1000
 #: Tokens of a training stretch (scores run over whole texts).
@@ -63,19 +64,25 @@ def encoded(docs: DataFrame, held, key="doc_id", text="text") -> tuple[DataFrame
     return back.where("kind = 0").select("chunk", "id", "held", "codes"), back.where("kind = 1").select("chunk", "token", "code", "n")
 
 
-def tail_class(token):
-    return (F.lit(1 + OWN) + F.pmod(F.xxhash64(F.right(token, F.lit(2))), F.lit(TAIL))).cast("int")
+def tail_classes(tokens: int) -> int:
+    return 1 << max(6, math.ceil(math.log2(max(1, tokens)) / 2))
+
+
+def tail_class(token, own: int, tail: int):
+    return (F.lit(1 + own) + F.pmod(F.xxhash64(F.right(token, F.lit(ENDING))), F.lit(tail))).cast("int")
 
 
 class Counts:
-    """What the corpus gives once: N, V, the end's count, and per class its tokens' and types' counts."""
+    """What the corpus gives once: N, V, the end's count, and per class its tokens' and types' counts.
+
+    Class 0 is the end of a text, 1 to ``own`` are the most frequent words, then come the endings."""
 
-    def __init__(self, n, v, ends, class_n, class_v):
+    def __init__(self, n, v, ends, class_n, class_v, own=None):
         self.n, self.v, self.ends = n, v, ends
         self.class_n, self.class_v = class_n, class_v
-        own = np.arange(CLASSES) <= OWN
+        self.own = len(class_n) - 1 if own is None else own
         #: log10 of what divides c + 1 inside a tail class: its tokens, its types and one place for unknown ones.
-        self.norm = np.where(own, 0.0, np.log10(class_n + class_v + 1))
+        self.norm = np.where(np.arange(len(class_n)) <= self.own, 0.0, np.log10(class_n + class_v + 1))
         prior = class_n + 1.0
         self.prior = prior / prior.sum()
 
@@ -86,23 +93,25 @@ def counted(docs: DataFrame, words: DataFrame, ends: int) -> tuple[DataFrame, Co
     A token's count is a window sum over its rows, one a chunk, so frequent words are no hot key. The counts go
     back to the chunks' texts by a cogroup on the chunk: it holds one bounded chunk at a time.
     """
-    spark = docs.sparkSession
     by = Window.partitionBy("token")
     w = written(words.select("chunk", "code", "token", F.sum("n").over(by).alias("c"), F.row_number().over(by.orderBy("chunk")).alias("_r"))
                 .withColumn("first", F.col("_r") == 1).drop("_r"), "vocabulary")
     known = w.where("first and c > 0")
-    top = known.orderBy(F.col("c").desc(), "token").limit(OWN).select("token", "c").collect()
-    own = spark.createDataFrame([(t, i + 1) for i, (t, _) in enumerate(top)], "token string, own int")
-    classed = lambda x: x.join(F.broadcast(own), "token", "left").withColumn("cls", F.coalesce("own", tail_class(F.col("token"))))
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
+    tokens = (known.agg(F.sum("c")).first()[0] or 0) + ends
+    frequent = known.where(F.col("c").cast("double") * F.col("c") * float(OWN * OWN) >= float(tokens)).select("token", "c")
+    # at most OWN * sqrt(N) rows: one task numbers them
+    own = written(frequent.select("token", F.row_number().over(Window.orderBy(F.col("c").desc(), "token")).alias("own")), "own")
+    n_own, tail = own.count(), tail_classes(tokens)
+    classed = lambda x: x.join(own, "token", "left").withColumn("cls", F.coalesce("own", tail_class(F.col("token"), n_own, tail)))
+    class_n, class_v = np.zeros(1 + n_own + tail), np.zeros(1 + n_own + tail)
     for cls, c, v in classed(known).groupBy("cls").agg(F.sum("c"), F.count(F.lit(1))).collect():
         class_n[cls], class_v[cls] = c, v
-    counts = Counts(int(class_n.sum()) + ends, int(class_v.sum()) + (ends > 0), ends, class_n, class_v)
+    types = int(class_v.sum()) + (ends > 0)
     class_n[0], class_v[0] = ends, ends > 0
-    counts = Counts(counts.n, counts.v, ends, class_n, class_v)
+    counts = Counts(tokens, types, ends, class_n, class_v, n_own)
 
     schema = StructType([StructField("id", docs.schema["id"].dataType), *_parse_datatype_string(
-        "held boolean, n_words bigint, n_known bigint, log_all double, log_tail double, classes array<smallint>").fields])
+        "held boolean, n_words bigint, n_known bigint, log_all double, log_tail double, classes array<int>").fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -112,10 +121,10 @@ def counted(docs: DataFrame, words: DataFrame, ends: int) -> tuple[DataFrame, Co
         code = pc.list_flatten(lists).to_numpy()
         size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         at = np.repeat(np.arange(len(size)), size)
-        c, cls = np.zeros(right.num_rows), np.zeros(right.num_rows, np.int16)
+        c, cls = np.zeros(right.num_rows), np.zeros(right.num_rows, np.int32)
         place = right.column("code").to_numpy()
         c[place], cls[place] = right.column("c").to_numpy(), right.column("cls").to_numpy()
-        logs, tail, known = np.log10(c + 1), cls > OWN, c > 0
+        logs, tail, known = np.log10(c + 1), cls > n_own, c > 0
         per = lambda x: np.bincount(at, x[code], len(size))
         classes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(cls[code]))
         cols = [left.column("id").combine_chunks(), left.column("held").combine_chunks(), pa.array(size), pa.array(per(known.astype(float)).astype(np.int64)),
@@ -131,12 +140,18 @@ class Hmm:
     """start (K), moves (K x K) and emissions (K x classes)."""
 
     def __init__(self, start, moves, emit):
-        self.start, self.moves, self.emit = start, moves, emit
+        self.start, self.moves = start, moves
         self.by_class = np.ascontiguousarray(emit.T)
+        #: where a stretch inside a text begins: the states' shares in the long run
+        self.inside = np.linalg.matrix_power(moves, 256)[0]
+
+    @property
+    def emit(self):
+        return self.by_class.T
 
     @classmethod
     def first(cls, counts: Counts, states=STATES, seed=1):
-        noise = np.random.default_rng(seed).random((states, CLASSES)) + 0.5
+        noise = np.random.default_rng(seed).random((states, len(counts.prior))) + 0.5
         emit = counts.prior * noise
         moves = np.full((states, states), 0.1 / max(1, states - 1))
         np.fill_diagonal(moves, 0.9 if states > 1 else 1.0)
@@ -149,13 +164,17 @@ class Hmm:
         emit = emit + weight * counts.prior
         return cls(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
-    def expected(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Baum-Welch counts of sequences (their classes joined, and their lengths), scaled at each step."""
-        k = len(self.start)
+    def expected(self, codes: np.ndarray, size: np.ndarray, first=None) -> np.ndarray:
+        """Baum-Welch counts of sequences (their classes joined, and their lengths), scaled at each step.
+
+        ``first`` tells which sequences begin a text (by default all); the others count no start."""
+        k, classes = len(self.start), len(self.by_class)
         order = np.argsort(-size, kind="stable")
+        first = np.ones(len(size), bool) if first is None else first[order]
+        enter = np.where(first[:, None], self.start, self.inside)
         starts = (np.cumsum(size) - size)[order]
         size = size[order]
-        start, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES))
+        start, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes))
         if not len(size) or not size[0]:
             return np.concatenate((start, moves.ravel(), emit.ravel()))
         active = [int(np.searchsorted(-size, -t, side="left")) for t in range(size[0] + 1)]  # sequences longer than t
@@ -163,7 +182,7 @@ class Hmm:
         for t in range(size[0]):
             n = active[t]
             o = codes[starts[:n] + t]
-            a = (self.start if t == 0 else forward[-1][:n] @ self.moves) * self.by_class[o]
+            a = (enter if t == 0 else forward[-1][:n] @ self.moves) * self.by_class[o]
             c = a.sum(1, keepdims=True)
             seen.append(o)
             forward.append(a / c)
@@ -178,10 +197,10 @@ class Hmm:
                 b = np.ones((active[t - 1], k))
                 b[:active[t]] = ahead @ self.moves.T
                 back = b
-        start += post[-1].sum(0)
+        start += post[-1][first].sum(0)
         o, g = np.concatenate(seen[::-1]), np.concatenate(post)
         for i in range(k):
-            emit[i] = np.bincount(o, g[:, i], CLASSES)
+            emit[i] = np.bincount(o, g[:, i], classes)
         return np.concatenate((start, (moves * self.moves).ravel(), emit.ravel()))
 
     def log10(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -209,43 +228,42 @@ def _with_ends(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(flat, np.cumsum(size), 0), size + 1
 
 
-def _stretches(size: np.ndarray) -> np.ndarray:
-    """Lengths of the stretches that sequences of these lengths are cut into."""
+def _stretches(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the stretches that sequences of these lengths are cut into, and whether each begins one."""
     n = -(-size // STRETCH)
-    out = np.full(int(n.sum()), STRETCH)
+    out, first = np.full(int(n.sum()), STRETCH), np.zeros(int(n.sum()), bool)
     out[np.cumsum(n) - 1] = size - (n - 1) * STRETCH
-    return out
+    first[np.cumsum(n) - n] = True
+    return out, first
 
 
 def trained(texts: DataFrame, counts: Counts, states=STATES, rounds=ROUNDS) -> Hmm:
     """Baum-Welch: some rounds on a start sample (the texts with the least hashes of ids), which only sets where
-    the search begins, then ``rounds`` over all training texts. Each task sums its expected counts, Spark sums
-    the tasks'; the driver gets one row per parameter."""
+    the search begins, then ``rounds`` over all training texts. In both, each task sums its expected counts and Spark
+    sums the tasks'; the driver gets one row per parameter (states x classes, which grow as the root of the tokens)."""
     train = texts.where(~F.col("held"))
     model = Hmm.first(counts, states)
-    begin = train.orderBy(F.xxhash64("id"), "id").limit(START_TEXTS).select("classes").toArrow().column(0).combine_chunks()
-    if len(begin):
-        codes, size = _with_ends(begin)
-        for _ in range(SAMPLE_ROUNDS):
-            model = Hmm.from_counts(model.expected(codes, _stretches(size)), counts, states)
-    for _ in range(rounds):
+    chosen = train.select("id").orderBy(F.xxhash64("id"), "id").limit(START_TEXTS)
+    begin = written(train.join(chosen.distinct(), "id", "left_semi").select("classes"), "start")
+    parameters = states + states**2 + states * len(counts.prior)
+    for sample in [begin] * SAMPLE_ROUNDS + [train.select("classes")] * rounds:
         now = model
 
         def run(batches):
-            total = 0.0
+            total = np.zeros(parameters)
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
                     codes, size = _with_ends(whole.column(0).slice(at, 512))
-                    cut = _stretches(size)
+                    cut, first = _stretches(size)
                     ends = np.cumsum(cut)
                     for i in range(0, len(cut), 4096):
                         j = min(i + 4096, len(cut))
-                        total = total + now.expected(codes[ends[i] - cut[i]:ends[j - 1]], cut[i:j])
-            i = np.flatnonzero(total) if not np.isscalar(total) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"i": pa.array(i.astype(np.int32)), "x": pa.array(total[i] if len(i) else np.zeros(0))})
+                        total += now.expected(codes[ends[i] - cut[i]:ends[j - 1]], cut[i:j], first[i:j])
+            i = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"i": pa.array(i.astype(np.int32)), "x": pa.array(total[i])})
 
-        got = train.select("classes").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-        x = np.zeros(states + states**2 + states * CLASSES)
+        got = sample.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+        x = np.zeros(parameters)
         x[got["i"]] = got["x"]
         model = Hmm.from_counts(x, counts, states)
     return model
