@@ -618,7 +618,7 @@ def forward_by_hand(model, seq):
 
 
 def small_counts():
-    n = np.zeros(40)
+    n = np.zeros(3025)
     n[:6] = [5, 9, 4, 3, 2, 2]
     return hmm.Counts(25, 6, 5, n, (n > 0).astype(float))
 
@@ -642,6 +642,32 @@ def test_forward_and_baum_welch():
         model.start, model.moves = model.start, model.moves
 
 
+def test_baum_welch_counts_equal_all_paths():
+    from itertools import product
+
+    model = hmm.Hmm.first(small_counts(), 3, seed=5)
+    model.moves = np.array([[0.6, 0.3, 0.1], [0.2, 0.5, 0.3], [0.25, 0.25, 0.5]])
+    model.start, model.inside = np.array([0.5, 0.2, 0.3]), np.array([0.1, 0.7, 0.2])
+    seqs, first = [[1, 2, 0], [0], [3, 4, 5, 1, 0], [2, 2]], np.array([True, True, False, False])
+    start, moves, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 3025))
+    for s, begins in zip(seqs, first):
+        paths = {}
+        for q in product(range(3), repeat=len(s)):
+            p = (model.start if begins else model.inside)[q[0]] * model.emit[q[0], s[0]]
+            for t in range(1, len(s)):
+                p *= model.moves[q[t - 1], q[t]] * model.emit[q[t], s[t]]
+            paths[q] = p
+        total = sum(paths.values())
+        for q, p in paths.items():
+            start[q[0]] += begins * p / total
+            for t, o in enumerate(s):
+                emit[q[t], o] += p / total
+                if t:
+                    moves[q[t - 1], q[t]] += p / total
+    got = model.expected(np.concatenate([np.array(s) for s in seqs]), np.array([len(s) for s in seqs]), first)
+    assert got == pytest.approx(np.concatenate((start, moves.ravel(), emit.ravel())))
+
+
 def test_hmm_scores(docs, empty):
     from pyspark.sql import functions as F
 
