@@ -104,8 +104,8 @@ def counted(docs: DataFrame, words: DataFrame, ends: int) -> tuple[DataFrame, Co
     n_own, tail = own.count(), tail_classes(tokens)
     classed = lambda x: x.join(own, "token", "left").withColumn("cls", F.coalesce("own", tail_class(F.col("token"), n_own, tail)))
     class_n, class_v = np.zeros(1 + n_own + tail), np.zeros(1 + n_own + tail)
-    for cls, c, v in classed(known).groupBy("cls").agg(F.sum("c"), F.count(F.lit(1))).collect():
-        class_n[cls], class_v[cls] = c, v
+    found = classed(known).groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()
+    class_n[found["cls"]], class_v[found["cls"]] = found["c"], found["v"]
     types = int(class_v.sum()) + (ends > 0)
     class_n[0], class_v[0] = ends, ends > 0
     counts = Counts(tokens, types, ends, class_n, class_v, n_own)
@@ -240,12 +240,13 @@ def _stretches(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def trained(texts: DataFrame, counts: Counts, states=STATES, rounds=ROUNDS) -> Hmm:
     """Baum-Welch: some rounds on a start sample (the texts with the least hashes of ids), which only sets where
     the search begins, then ``rounds`` over all training texts. In both, each task sums its expected counts and Spark
-    sums the tasks'; the driver gets one row per parameter (states x classes, which grow as the root of the tokens)."""
+    sums the tasks'; the driver gets one row per class and per state (classes grow as the root of the tokens)."""
     train = texts.where(~F.col("held"))
     model = Hmm.first(counts, states)
     chosen = train.select("id").orderBy(F.xxhash64("id"), "id").limit(START_TEXTS)
     begin = written(train.join(chosen.distinct(), "id", "left_semi").select("classes"), "start")
     parameters = states + states**2 + states * len(counts.prior)
+    names = [f"x{k}" for k in range(states)]
     for sample in [begin] * SAMPLE_ROUNDS + [train.select("classes")] * rounds:
         now = model
 
@@ -259,13 +260,17 @@ def trained(texts: DataFrame, counts: Counts, states=STATES, rounds=ROUNDS) -> H
                     for i in range(0, len(cut), 4096):
                         j = min(i + 4096, len(cut))
                         total += now.expected(codes[ends[i] - cut[i]:ends[j - 1]], cut[i:j], first[i:j])
-            i = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"i": pa.array(i.astype(np.int32)), "x": pa.array(total[i])})
-
-        got = sample.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-        x = np.zeros(parameters)
-        x[got["i"]] = got["x"]
-        model = Hmm.from_counts(x, counts, states)
+            # a row for the starts, one for each state's moves and one for each class seen; a column for each state
+            rows = np.vstack((total[:states + states**2].reshape(-1, states), total[states + states**2:].reshape(states, -1).T))
+            i = np.flatnonzero(rows.any(1))
+            yield pa.RecordBatch.from_pydict({"i": pa.array(i.astype(np.int32)), **{n: pa.array(rows[i, k]) for k, n in enumerate(names)}})
+
+        summed = sample.mapInArrow(run, "i int, " + ", ".join(f"{n} double" for n in names)).groupBy("i")
+        got = summed.agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+        rows = np.zeros((parameters // states, states))
+        for k, n in enumerate(names):
+            rows[got.column("i").to_numpy(), k] = got.column(n).to_numpy()
+        model = Hmm.from_counts(np.concatenate((rows[:1 + states].ravel(), rows[1 + states:].T.ravel())), counts, states)
     return model
 
 
