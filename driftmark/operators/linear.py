@@ -198,6 +198,32 @@ def calibrate(scores, label="label", weight=None):
     return fit("logreg", vec, label, weight, balanced=False, C=1e6)
 
 
+class CalibratedEnsemble:
+    """Pairs of a base fit and its calibrator; ``score`` averages the pairs' probabilities of rows none of them saw."""
+
+    def __init__(self, pairs):
+        self.pairs = pairs
+
+    def score(self, df: DataFrame) -> DataFrame:
+        p = []
+        for i, (base, slope, intercept) in enumerate(self.pairs):
+            df = base.score(df).drop("p").withColumnRenamed("margin", f"_m{i}")
+            p.append(1.0 / (1.0 + F.exp(-(F.col(f"_m{i}") * slope + F.lit(intercept)))))
+        mean = sum(p[1:], p[0]) / F.lit(float(len(p)))
+        return df.withColumn("p", mean).drop(*[f"_m{i}" for i in range(len(p))])
+
+
+def calibrated_cv(df, fit_fn, k=3, label="label", weight=None, fold="fold") -> CalibratedEnsemble:
+    """Sigmoid calibration with cross-validation: for each of the ``k`` folds, ``fit_fn(other folds)`` and a sigmoid of
+    its margins on that fold, weighted by ``weight`` (a column) where given. ``df`` has ``features`` and ``fold``."""
+    pairs = []
+    for i in range(k):
+        base = fit_fn(df.where(F.col(fold) != i))
+        model = calibrate(cut_lineage(base.score(df.where(F.col(fold) == i)).drop("features")), label, weight).model
+        pairs.append((base, float(model.coefficients[0]), float(model.intercept)))
+    return CalibratedEnsemble(pairs)
+
+
 def ridge_path(df, columns, alphas, label="y", fold="fold") -> DataFrame:
     """Out-of-fold class-balanced ridge margins for every penalty, from one pass over the rows.
 

@@ -367,6 +367,15 @@ def calibrate_sigmoid(spark, sf):
     return L.oof(d, lambda t: L.fit("logreg", t, balanced=False, C=1e6)).select("doc_id", "label", "p")
 
 
+@query("calibrate_cv")
+def calibrate_cv(spark, sf):
+    """Weighted sigmoid calibration over three folds of an SVM: the mean probability of every unlabelled document."""
+    v = light(spark, sf)
+    train = cut_lineage(ranks.stratified_kfold(v.where("label IS NOT NULL"), k=3).withColumn("w", F.lit(1.0) + F.col("label")))
+    model = L.calibrated_cv(train, lambda t: L.fit("svm", t, weight="w"), weight="w")
+    return model.score(v.where("label IS NULL").select("doc_id", "features")).select("doc_id", "p")
+
+
 @query("oof_scores")
 def oof_scores(spark, sf):
     """One out-of-fold margin per labelled document."""
