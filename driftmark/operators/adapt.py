@@ -21,7 +21,7 @@ def domain_features(train, target, lo=3, hi=5, min_df=5) -> DataFrame:
         target.select("doc_id", "text", F.lit(1).alias("domain")))
     v = T.fit_vocab(T.char_wb_terms(train, lo, hi), train, min_df)
     long = T.weigh(T.char_wb_terms(docs, lo, hi), v)
-    return cut_lineage(linear.vectors(docs.select("doc_id", "domain"), long))
+    return linear.vectors(docs.select("doc_id", "domain"), long)
 
 
 def domain_scores(features, folds=None, seed=13, C=1.0) -> DataFrame:
@@ -156,7 +156,7 @@ def flagship(train, target, **legs) -> DataFrame:
     """
     docs = train.select("doc_id", "text", "label").unionByName(
         target.select("doc_id", "text", F.lit(None).cast("int").alias("label")))
-    vec = cut_lineage(linear.vectors(docs.select("doc_id", "label"), fused_blocks(train, docs, **legs)))
+    vec = linear.vectors(docs.select("doc_id", "label"), fused_blocks(train, docs, **legs))
     w = importance_weights(train, target)
     tr = cut_lineage(vec.where("label IS NOT NULL").join(w, "doc_id").withColumnRenamed("w", "weight"))
     pool = vec.where("label IS NULL").drop("label")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,23 +33,13 @@ def column_index(long: DataFrame) -> DataFrame:
         "block", "term", (F.col("_o") + F.row_number().over(inside) - 1).cast("long").alias("idx")), "index")
 
 
-def _sparse(dim):
-    @F.udf(VectorUDT(), useArrow=True)
-    def build(idx, val):
-        if idx is None or len(idx) == 0:
-            return SparseVector(dim, [], [])
-        i, back = np.unique(np.asarray(idx), return_inverse=True)
-        return SparseVector(dim, i, np.bincount(back, weights=np.asarray(val, dtype=float)))
-
-    return build
-
-
 def vectors(docs: DataFrame, long: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """docs plus ``features``: one sparse vector per document with a column for each term of ``index``
-    (by default of ``long``); terms without a column are left out.
+    (by default of ``long``); terms without a column are left out, values of a repeated term are summed.
 
-    The grouping is per document, so a group is bounded by one document's terms; terms that many documents
-    hold are spread over several join keys.
+    A written table: the vector's fields are assembled by SQL functions and read back as MLlib's vector type, so no
+    value passes a Python worker. One shuffle by document serves the sums and the arrays; a group is bounded by one
+    document's terms. Terms that many documents hold are spread over several join keys. MLlib counts columns in 32 bits.
     """
     from .terms import salted_join
 
@@ -57,9 +47,18 @@ def vectors(docs: DataFrame, long: DataFrame, index: DataFrame | None = None) ->
     index = column_index(long) if index is None else index
     dim = max(1, index.count())
     sizes = long.groupBy("block", "term").agg(F.count(F.lit(1)).alias("_n"))
-    rows = salted_join(long, index, ("block", "term"), sizes, "doc_id").groupBy("doc_id").agg(
-        F.collect_list("idx").alias("_i"), F.collect_list("value").alias("_v"))
-    return docs.join(rows, "doc_id", "left").withColumn("features", _sparse(dim)("_i", "_v")).drop("_i", "_v")
+    cells = salted_join(long, index, ("block", "term"), sizes, "doc_id").select(
+        "doc_id", F.col("idx").cast("int").alias("idx"), F.col("value").cast("double").alias("value"))
+    summed = cells.repartition("doc_id").groupBy("doc_id", "idx").agg(F.sum("value").alias("value"))
+    rows = summed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_c"))
+    keep = [c for c in docs.columns if c != "features"]
+    none = F.array().cast("array<struct<idx:int,value:double>>")
+    at = docs.select(*keep).join(rows, "doc_id", "left").withColumn("_c", F.coalesce("_c", none))
+    sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(dim).alias("size"),
+                      F.col("_c.idx").alias("indices"), F.col("_c.value").alias("values"))
+    out = at.select(*docs.select(*keep).columns, sparse.alias("features"))
+    schema = T.StructType([*out.schema.fields[:-1], T.StructField("features", VectorUDT())])
+    return written(out, "vectors", schema)
 
 
 def dense_vectors(df: DataFrame, columns) -> DataFrame:
@@ -182,7 +181,7 @@ def nbsvm(train_long, ratio, train_docs, C=1.0, share=None, estimator="svm"):
         return j.select("doc_id", "block", "term", (F.col("value") * F.col("r")).alias("value"))
 
     index = column_index(ratio)
-    fitted = fit(estimator, cut_lineage(vectors(train_docs, scaled(train_long), index)), C=C)
+    fitted = fit(estimator, vectors(train_docs, scaled(train_long), index), C=C)
     b = float(fitted.model.intercept)
     coef = index.join(coefficient_table(train_docs.sparkSession, fitted, share), "idx").drop("idx")
 

@@ -36,7 +36,7 @@ def light(spark, sf, fit_on="label IS NOT NULL"):
     d = C.corpus(spark, sf)
     tr = d.where(fit_on)
     long = T.weigh(T.word_terms(d), T.fit_vocab(T.word_terms(tr), tr))
-    return cut_lineage(L.vectors(d.select("doc_id", "label"), long))
+    return L.vectors(d.select("doc_id", "label"), long)
 
 
 def split_vectors(spark, sf):
@@ -534,7 +534,7 @@ def two_views(spark, sf):
     tr = d.where("label IS NOT NULL")
     out = {}
     for name, terms in (("word", lambda x: T.word_terms(x)), ("char", lambda x: T.char_wb_terms(x, 3, 3))):
-        v = cut_lineage(L.vectors(d.select("doc_id", "label"), T.weigh(terms(d), T.fit_vocab(terms(tr), tr))))
+        v = L.vectors(d.select("doc_id", "label"), T.weigh(terms(d), T.fit_vocab(terms(tr), tr)))
         out[name] = (v.where("label IS NOT NULL"), v.where("label IS NULL").drop("label"))
     return out
 
@@ -560,7 +560,7 @@ def tta_crops(spark, sf):
     tr = d.where("label IS NOT NULL")
     vocab = T.fit_vocab(T.word_terms(tr), tr)
     index = L.column_index(vocab)
-    fitted = L.fit("ridge", cut_lineage(L.vectors(tr.select("doc_id", "label"), T.weigh(T.word_terms(tr), vocab), index)))
+    fitted = L.fit("ridge", L.vectors(tr.select("doc_id", "label"), T.weigh(T.word_terms(tr), vocab), index))
     t = d.where("label IS NULL").select("doc_id", "text", X.tok_ws(F.col("text")).alias("tok"))
     text, tok = F.col("text"), F.col("tok")
     kinds = {"head": F.array(X.crop_head(text, tok)), "cond": F.array(X.crop_head(text, tok, longer_than=K.CROP_IF_LONGER)),
@@ -583,7 +583,7 @@ def shift_words(spark, sf):
     d = C.corpus(spark, sf)
     vocab = T.fit_vocab(T.word_terms(d), d, 5)
     long = T.weigh(T.word_terms(d), vocab)
-    v = cut_lineage(L.vectors(d.select("doc_id", F.col("label").isNull().cast("int").alias("domain")), long, index := L.column_index(vocab)))
+    v = L.vectors(d.select("doc_id", F.col("label").isNull().cast("int").alias("domain")), long, index := L.column_index(vocab))
     m = L.fit("svm", v, "domain", C=0.5)
     words = index.join(L.coefficient_table(spark, m), "idx")
     return words.select("term", "w", F.abs("w").alias("size")).orderBy(F.col("size").desc(), "term").limit(200).select("term", "w")
@@ -619,7 +619,7 @@ def eval_rep(spark, sf):
         for i in range(5):
             tr = lab.join(folds.where(F.col("fold") != i).select("doc_id"), "doc_id")
             v = T.weigh(terms(lab), T.fit_vocab(terms(tr), tr))
-            d = cut_lineage(L.vectors(folds, v))
+            d = L.vectors(folds, v)
             f = A.eval_folds(d, lambda t: L.fit("svm", t, C=0.25), folds=[i])
             f = f.select(F.lit(rep).alias("rep"), "fold", "f1")
             out = f if out is None else out.unionByName(f)

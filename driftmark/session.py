@@ -52,11 +52,14 @@ def new_folder(spark: SparkSession, name="t") -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name="t") -> DataFrame:
-    """Write ``df`` to the work folder and read it back: cuts the lineage, keeps pruning and size estimates."""
+def written(df: DataFrame, name="t", schema=None) -> DataFrame:
+    """Write ``df`` to the work folder and read it back: cuts the lineage, keeps pruning and size estimates.
+
+    ``schema`` reads the same columns as other types with equal storage (a struct as a vector).
+    """
     spark, folder = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(schema or df.schema).parquet(folder)
 
 
 def clear_work(spark: SparkSession) -> None:

@@ -230,6 +230,22 @@ def test_every_term_has_a_column_of_its_own(spark):
     assert all(v[d].size == 300 and v[d][dict(rows)[f"t{i}"]] == (i + 1 if i >= d else 0) for d in range(3) for i in (0, 1, 2, 299))
 
 
+def test_vectors_come_without_python_workers(spark):
+    from driftmark.operators import linear as L
+
+    long = spark.createDataFrame([(1, "w", "b", 2.0), (1, "w", "a", 1.0), (1, "w", "b", 0.5), (2, "w", "c", 3.0), (2, "x", "a", 4.0)],
+                                 "doc_id long, block string, term string, value double")
+    docs = spark.createDataFrame([(1, "one"), (2, "two"), (3, "no term")], "doc_id long, name string")
+    out = L.vectors(docs, long)
+    assert "Python" not in out._jdf.queryExecution().toString() and out.columns == ["doc_id", "name", "features"]
+    v = {r.doc_id: r.features for r in out.collect()}
+    assert v[1].indices.tolist() == [0, 1] and v[1].values.tolist() == [1.0, 2.5]  # a repeated term is summed
+    assert v[2].indices.tolist() == [2, 3] and v[2].values.tolist() == [3.0, 4.0]
+    assert v[3].size == 4 and v[3].numNonzeros() == 0
+    known = L.column_index(long.where("term = 'b'"))
+    assert {r.doc_id: r.features.toArray().tolist() for r in L.vectors(docs, long, known).collect()} == {1: [2.5], 2: [0.0], 3: [0.0]}
+
+
 def test_ranks_with_text_ids(spark):
     from driftmark.operators import ranks
 
