@@ -99,10 +99,10 @@ def counted(docs: DataFrame, words: DataFrame, ends: int) -> tuple[DataFrame, Co
     known = w.where("first and c > 0")
     tokens = (known.agg(F.sum("c")).first()[0] or 0) + ends
     frequent = known.where(F.col("c").cast("double") * F.col("c") * float(OWN * OWN) >= float(tokens)).select("token", "c")
-    # at most OWN * sqrt(N) rows: one task numbers them
+    # at most OWN * sqrt(N) rows: one task numbers them, and they are sent to all, as is the model with STATES numbers a class
     own = written(frequent.select("token", F.row_number().over(Window.orderBy(F.col("c").desc(), "token")).alias("own")), "own")
     n_own, tail = own.count(), tail_classes(tokens)
-    classed = lambda x: x.join(own, "token", "left").withColumn("cls", F.coalesce("own", tail_class(F.col("token"), n_own, tail)))
+    classed = lambda x: x.join(F.broadcast(own), "token", "left").withColumn("cls", F.coalesce("own", tail_class(F.col("token"), n_own, tail)))
     class_n, class_v = np.zeros(1 + n_own + tail), np.zeros(1 + n_own + tail)
     found = classed(known).groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()
     class_n[found["cls"]], class_v[found["cls"]] = found["c"], found["v"]
