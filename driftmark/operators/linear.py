@@ -88,6 +88,17 @@ class Linear:
     def coefficients(self):
         return self.model.coefficients.toArray()
 
+    def save(self, folder: str) -> None:
+        """Write the fitted model to a new folder."""
+        self.model.write().save(folder)
+
+    @classmethod
+    def load(cls, kind: str, folder: str) -> Linear:
+        return cls(kind, MODELS[kind].load(folder))
+
+
+MODELS = {"ridge": MR.LinearRegressionModel, "logreg": MC.LogisticRegressionModel, "svm": MC.LinearSVCModel}
+
 
 def weighted(df, label, weight, balanced):
     """Add ``_w`` (row weight times n / (2 n_c)) and return the per-class sums.

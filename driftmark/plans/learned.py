@@ -17,6 +17,7 @@ from ..operators import neighbors as NN
 from ..operators import profile as P
 from ..operators import projection as PR
 from ..operators import ranks
+from ..operators import search as SE
 from ..operators import shift as H
 from ..operators import terms as T
 from ..operators import trees as R
@@ -574,9 +575,8 @@ def tta_crops(spark, sf):
         F.avg("margin").alias("margin"), F.count(F.lit(1)).alias("n_crops")).withColumn("label", (F.col("margin") > 0).cast("int"))
 
 
-@query("shift_words")
-def shift_words(spark, sf):
-    """Words with the largest domain coefficient, as a stop list.
+def domain_words(spark, sf):
+    """(block, term, w): each word's coefficient in a fit of the target against the labelled documents.
 
     Each word has a column of its own, so the fitted weights join its index.
     """
@@ -585,25 +585,47 @@ def shift_words(spark, sf):
     long = T.weigh(T.word_terms(d), vocab)
     v = L.vectors(d.select("doc_id", F.col("label").isNull().cast("int").alias("domain")), long, index := L.column_index(vocab))
     m = L.fit("svm", v, "domain", C=0.5)
-    words = index.join(L.coefficient_table(spark, m), "idx")
-    return words.select("term", "w", F.abs("w").alias("size")).orderBy(F.col("size").desc(), "term").limit(200).select("term", "w")
+    return index.join(L.coefficient_table(spark, m), "idx").select("block", "term", "w")
+
+
+def largest(words, k):
+    return words.orderBy(F.abs("w").desc(), "term").limit(k)
+
+
+@query("shift_words")
+def shift_words(spark, sf):
+    """Words with the largest domain coefficient, as a stop list."""
+    return largest(domain_words(spark, sf), 200).select("term", "w")
 
 
 @query("topic_prune")
 def topic_prune(spark, sf):
-    """Terms left after a document-share limit and after dropping the words most tied to topics."""
+    """Rules that leave terms out: document-share limits, the words most tied to topics, and the words that most tell
+    labelled from target documents. Terms kept of the whole corpus, and macro-F1 over two folds of the labelled
+    documents (share limits counted on a fold's training side), with the change against all terms."""
     d = C.documents(spark, sf)
     t = T.word_terms(d)
     freq = cut_lineage(T.doc_freq(t))
     topics = cut_lineage(A.kmeans(light(spark, sf, "true"), 10))
     kept = cut_lineage(T.vocab_prune(freq, min_df=5))
     v = T.lookup(t, kept.select("block", "term", "df")).select("doc_id", "block", "term", T.tf().alias("value"))
-    chi = T.chi2_terms(v, topics).orderBy(F.col("chi2").desc(), "term").limit(200)
+    chi = cut_lineage(T.chi2_terms(v, topics).orderBy(F.col("chi2").desc(), "term").limit(200))
+    domain = cut_lineage(largest(domain_words(spark, sf), 200))
     n = F.count(F.lit(1)).alias("n_terms")
     out = freq.agg(n).select(F.lit("all").alias("rule"), "n_terms")
+    rules = {"all": SE.without(None)}
     for share in (0.9, 0.5, 0.3):
+        rules[f"max_df {share}"] = SE.without(None, max_df=share)
         out = out.unionByName(T.vocab_prune(freq, T.n_docs(d), 1, share).agg(n).select(F.lit(f"max_df {share}").alias("rule"), "n_terms"))
-    return out.unionByName(freq.join(chi, ["block", "term"], "left_anti").agg(n).select(F.lit("chi2 200").alias("rule"), "n_terms"))
+    for name, gone in (("chi2 200", chi), ("domain 200", domain)):
+        rules[name] = SE.without(gone)
+        out = out.unionByName(freq.join(gone, ["block", "term"], "left_anti").agg(n).select(F.lit(name).alias("rule"), "n_terms"))
+    lab = C.labelled(spark, sf)
+    scores = SE.fold_scores(lab, {k: ("w", f) for k, f in rules.items()}, {"svm": lambda x: L.fit("svm", x, C=0.25)},
+                            {"w": cut_lineage(T.word_terms(lab))}, k=2)
+    f1 = scores.groupBy(F.col("vocabulary").alias("rule")).agg(F.avg("f1").alias("macro_f1"))
+    base = f1.where("rule = 'all'").select(F.col("macro_f1").alias("_all"))
+    return with_stats(out.join(f1, "rule"), base).select("rule", "n_terms", "macro_f1", (F.col("macro_f1") - F.col("_all")).alias("change"))
 
 
 # --- experiments around fits -----------------------------------------------------------------------
@@ -628,16 +650,12 @@ def eval_rep(spark, sf):
 
 @query("grid_search")
 def grid_search(spark, sf):
-    """Three-fold grid over the logistic penalty, ranked by mean macro-F1."""
-    v = cut_lineage(ranks.stratified_kfold(light(spark, sf).where("label IS NOT NULL"), k=3))
-    out = None
-    for c in (0.1, 1.0, 10.0):
-        f = A.eval_folds(v, lambda t, c=c: L.fit("logreg", t, C=c), folds=range(3))
-        f = f.agg(F.avg("f1").alias("f1")).select(F.lit(c).alias("C"), "f1")
-        out = f if out is None else out.unionByName(f)
-    # one row per grid point
-    place = Window.orderBy(F.round("f1", 9).desc(), "C")
-    return cut_lineage(out).withColumn("rank", F.row_number().over(place))
+    """Three-fold grid over n-gram size, rarest term and logistic penalty together, ranked by mean macro-F1."""
+    lab = C.labelled(spark, sf)
+    tables = {f"words 1-{n}": cut_lineage(T.word_terms(lab, 1, n)) for n in (1, 2)}
+    vocabularies = {f"{t}, min_df {m}": (t, SE.without(None, min_df=m)) for t in tables for m in (2, 5)}
+    fits = {f"C {c}": (lambda x, c=c: L.fit("logreg", x, C=c)) for c in (0.1, 1.0, 10.0)}
+    return SE.ranked(SE.fold_scores(lab, vocabularies, fits, tables))
 
 
 @query("coordinate_descent")
