@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmark.operators import cache, langmodel, profile, ranks, trees
+from driftmark.operators import terms as terms_module
 
 
 @pytest.fixture
@@ -104,6 +105,37 @@ def test_cross_fitted_counts_equal_a_refit_per_fold(spark):
     assert all(got[k][0] == want[k][0] and np.allclose(got[k][1:], want[k][1:]) for k in want)
 
 
+def test_bank_sums_shuffle_no_terms_of_a_small_model(spark):
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(15)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 8)), int(i % 2)) for i in range(40)] + [(41, "", 0)], "doc_id long, text string, label int")
+    terms = langmodel.counted_bank(docs)
+    model = langmodel.bank_model(terms)
+    want = {}
+    lp = {(r["block"], r["term"]): (r["lp0"], r["lp1"]) for r in model.collect()}
+    for r in terms.collect():
+        if (r["block"], r["term"]) in lp:
+            n, s = want.setdefault((r["doc_id"], r["block"]), [0, 0.0]), lp[r["block"], r["term"]]
+            n[0], n[1] = n[0] + r["cnt"], n[1] + r["cnt"] * s[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = terms_module.SMALL_ROWS
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = langmodel.bank_features(docs, terms, model)
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 4 and plan.count("SortMergeJoin") == 1  # one join with the documents
+        terms_module.SMALL_ROWS = 0  # the same without a table sent to the tasks
+        for rows in (small.collect(), langmodel.bank_features(docs, terms, model).collect()):
+            assert sorted(r["doc_id"] for r in rows) == [*range(40), 41]
+            for r in rows:
+                for b in langmodel.BANK:
+                    n, s0 = want.get((r["doc_id"], b), (0, 0.0))
+                    assert math.isclose(r[f"{b}_lp0"], s0 / (n + 1e-9), abs_tol=1e-9)
+    finally:
+        terms_module.SMALL_ROWS = limit
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def backoff_by_hand(texts, windows):
     out = {}
     for label in (0, 1):
