@@ -186,3 +186,21 @@ def test_correlation_of_many_columns_is_one_aggregate(spark):
     assert max(abs(got[f"c{i:02d}", f"c{j:02d}"] - want[i, j]) for i in range(60) for j in range(i + 1, 60)) < 1e-7
     empty = profile.pairwise_corr(df.where("false"), ["c01", "c02"]).collect()
     assert [tuple(r) for r in empty] == [("c01", "c02", 0.0)]
+
+
+def test_window_scores_meet_the_windows_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"some text {i % 5} of {i}", i % 2 if i < 20 else None) for i in range(30)], "doc_id long, text string, label int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = terms_module.SMALL_ROWS
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = langmodel.perplexity_features(docs.where("label IS NULL"), docs.where("label IS NOT NULL"))
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+        terms_module.SMALL_ROWS = 0
+        large = langmodel.perplexity_features(docs.where("label IS NULL"), docs.where("label IS NOT NULL"))
+        a, b = ({r["doc_id"]: r for r in x.collect()} for x in (small, large))
+        assert a.keys() == b.keys() and all(np.allclose(list(a[k]), list(b[k])) for k in a)
+    finally:
+        terms_module.SMALL_ROWS = limit
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
