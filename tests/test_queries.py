@@ -61,3 +61,37 @@ def test_nested_stack_scores_every_row_once_per_meta(spark):
 def test_importance_weights_have_mean_one(spark):
     w = entry.queries()["iw_insample"](spark, SF).toPandas()["w"]
     assert abs(w.mean() - 1) < 1e-5 and w.min() > 0
+
+
+def small_tables(spark, folder, n=60):
+    docs = [(i, f"{'red green' if i % 2 else 'blue white'} word{i % 7} text{i % 5}", "en", "s") for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, i % 2, 0) for i in range(n - 10)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_nested_threshold_writes_its_vectors_once(spark, tmp_path, monkeypatch):
+    from driftmark import session
+
+    kept = []
+    sf = small_tables(spark, tmp_path)
+    write = session.new_folder
+    monkeypatch.setattr(session, "new_folder", lambda s, name="t": kept.append(write(s, name)) or kept[-1])
+    out = entry.queries()["nested_threshold"](spark, sf).toPandas()
+    assert len(out) == 10 and out["pred"].eq(out["label"]).all()
+    with_vectors = [f for f in kept if "features" in spark.read.parquet(f).columns]
+    assert len(with_vectors) == 1
+    assert spark.read.parquet(with_vectors[0]).count() == 50  # no vector of a document without a label
+
+
+def test_eval_rep_counts_each_text_once(spark, tmp_path, monkeypatch):
+    from driftmark.operators import terms as T
+
+    calls = []
+    for name in ("word_terms", "char_wb_terms"):
+        real = getattr(T, name)
+        monkeypatch.setattr(T, name, lambda *a, real=real, name=name, **k: calls.append(name) or real(*a, **k))
+    out = entry.queries()["eval_rep"](spark, small_tables(spark, tmp_path)).toPandas()
+    assert sorted(zip(out["rep"], out["fold"])) == [(r, i) for r in ("char3", "word12") for i in range(5)]
+    assert (out["f1"] > 0.99).all() and sorted(calls) == ["char_wb_terms", "word_terms"]
