@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from driftmark.operators import lowrank, projection
+from driftmark.operators import lowrank, lsh, projection
 from driftmark.plans import learned
 
 
@@ -60,3 +60,15 @@ def tables(spark, folder, n=60):
 def test_lsa_keeps_all_components_of_few_documents(spark, tmp_path):
     got = learned.svd_lsa(spark, tables(spark, tmp_path)).collect()
     assert len(got) == 60 and {len(r["x"]) for r in got} == {50}  # as many as labelled documents; 20 before
+
+
+def test_a_crowded_bucket_is_searched_whole(spark):
+    """Many vectors closer than the narrowest bucket: no query may miss the part of them that salt put elsewhere."""
+    rng = np.random.default_rng(7)
+    near, far = rng.normal(size=(90, 3)) * 1e-3 + [3.3, 1.7, -2.9], rng.normal(size=(30, 3)) * 10
+    x = np.vstack([near, far])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    got = lsh.knn_lsh(df, df, 3, tables=2, levels=2, leaf=10).where("query < 90").toPandas()
+    d = np.linalg.norm(near[:, None] - near[None], axis=2)
+    want = np.sort(d, axis=1)[:, :3]
+    assert np.allclose(got.sort_values(["query", "rank"])["dist"].to_numpy().reshape(-1, 3), want, atol=1e-9)
