@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftmark.operators import lowrank, lsh, projection
 from driftmark.plans import learned
@@ -72,3 +73,29 @@ def test_a_crowded_bucket_is_searched_whole(spark):
     d = np.linalg.norm(near[:, None] - near[None], axis=2)
     want = np.sort(d, axis=1)[:, :3]
     assert np.allclose(got.sort_values(["query", "rank"])["dist"].to_numpy().reshape(-1, 3), want, atol=1e-9)
+
+
+def test_legs_never_see_the_held_texts(spark, tmp_path, monkeypatch):
+    lab = learned.C.labelled(spark, tables(spark, tmp_path)).select("doc_id", "label", "text")
+    sizes = []
+    real = learned.T.fit_vocab
+    monkeypatch.setattr(learned.T, "fit_vocab", lambda terms, docs, *a, **k: sizes.append(docs.count()) or real(terms, docs, *a, **k))
+    got = learned.leg_scores(lab.where("doc_id >= 20"), lab.where("doc_id < 20")).toPandas()
+    assert sizes == [30] and sorted(got["doc_id"]) == list(range(20))
+    assert all(((got[kind] > 0) == got["label"]).mean() > 0.9 for kind in learned.LEGS)
+
+
+def test_cached_legs_hold_the_inner_and_the_target_scores(spark, tmp_path, monkeypatch):
+    sf = tables(spark, tmp_path)
+
+    def scored(train, held):
+        assert train.select("doc_id").intersect(held.select("doc_id")).isEmpty()
+        return held.drop("text").select("*", *[F.lit(0.5).alias(kind) for kind in learned.LEGS])
+
+    monkeypatch.setattr(learned, "leg_scores", scored)
+    got = learned.all_legs(spark, sf).toPandas()
+    out = got[got["part"] == "oof"]
+    assert len(out) == 50 and (got["part"] == "test").sum() == 10
+    for i in range(3):
+        inner = got[(got["part"] == "inner") & (got["outer"] == i)]
+        assert sorted(inner["doc_id"]) == sorted(out.loc[out["fold"] != i, "doc_id"]) and set(inner["fold"]) == {0, 1, 2}
